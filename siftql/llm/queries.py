@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftql.llm import bpe_automaton, prefix_counts, quality_rules, sorted_tables
+from siftql.llm import bpe_automaton, mixing, prefix_counts, quality_classifier, quality_rules, secret_scan, sorted_tables
 from siftql.llm._shared import read_table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(read_table(spark, sf_dir, "documents"))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.rejected(quality_rules.BASE).alias("base_failed"), (~quality_rules.rejected(quality_rules.DEFAULT)).alias("kept"), "failures")
@@ -41,6 +45,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = prefix_counts.prefix_token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budgets=(512,), keep_table=False)
     return got.select("doc_id", "n_bytes", "n_tokens", prefix_counts.over_budget(F.col("n_tokens"), 512).alias("over_limit"), "chars_within_512")
@@ -55,5 +63,10 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op6_token_counts, op7_sorted_tables, op9_bpe_automaton)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans", "n_guess")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op4_quality_rules, op5_quality_classifier, op6_token_counts, op7_sorted_tables, op9_bpe_automaton, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
