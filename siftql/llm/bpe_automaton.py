@@ -25,6 +25,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from siftql.llm._shared import TwoGenerations, text_or_empty
 
 #: Pairs in the transition table of one worker; beyond it the table is filled anew.
-TABLE_LIMIT = 1_500_000
+TABLE_LIMIT = 200_000
 #: Distinct space-separated pieces that a worker remembers in each of two generations.
 PIECE_LIMIT = 250_000
 WORD_LIMIT = 100_000
@@ -89,21 +90,22 @@ class TokenAutomaton:
         key = a * self.wide + b
         known = self.table.get(key)
         if known is None:
-            rule = self.rule
-            known = True
-            for s, before_s in self.right[a]:
-                for t, before_t in self.left[b]:
-                    r = rule.get((s, t))
-                    if r is not None and r < before_s and r < before_t:
-                        known = False
-                        break
-                if not known:
-                    break
+            known = self.find_arc(a, b)
             if len(self.table) >= TABLE_LIMIT:
                 self.table.clear()
             self.table[key] = known
         return known
 
+    def find_arc(self, a: int, b: int) -> bool:
+        """``has_arc`` from the chains of splits."""
+        rule = self.rule
+        for s, before_s in self.right[a]:
+            for t, before_t in self.left[b]:
+                r = rule.get((s, t))
+                if r is not None and r < before_s and r < before_t:
+                    return False
+        return True
+
     def walk(self, word: bytes) -> tuple[list[int], list[int]]:
         """For each prefix of ``word``, the last arc of its path and the length of the path (at 0: -1 and 0)."""
         n, arc_of, table, wide, longest = len(word), self.arc_of, self.table, self.wide, self.longest
@@ -128,9 +130,6 @@ class TokenAutomaton:
         return last, count
 
     def encode_word(self, word: bytes) -> list[int]:
-        whole = self.arc_of.get(word)
-        if whole is not None and self._is_whole(whole, word):
-            return [whole]
         last, _ = self.walk(word)
         start, out, at = self.start, [], len(word)
         while at:
@@ -139,19 +138,106 @@ class TokenAutomaton:
         out.reverse()
         return out
 
-    def _is_whole(self, token: int, word: bytes) -> bool:
-        return len(word) == 1
-
     def decode(self, ids) -> bytes:
         emit = self.emit
         return b"".join([emit[i] for i in ids])
 
 
+class BatchWalker:
+    """Walks of many words at once, with the arcs' labels in a trie and the transition table in arrays."""
+
+    LONGEST = 40  # bytes; longer words are walked one by one
+    SLOTS = 1 << 21
+
+    def __init__(self, auto: TokenAutomaton):
+        self.auto = auto
+        nodes: dict[bytes, int] = {b"": 0}
+        for label in auto.arc_of:
+            for k in range(1, len(label) + 1):
+                nodes.setdefault(label[:k], len(nodes))
+        self.next = np.full((len(nodes), 256), -1, np.int32)
+        for prefix, node in nodes.items():
+            if prefix:
+                self.next[nodes[prefix[:-1]], prefix[-1]] = node
+        self.token = np.full(len(nodes), -1, np.int32)
+        for label, i in auto.arc_of.items():
+            self.token[nodes[label]] = i
+        self.next = self.next.reshape(-1)
+        self.keys = np.full(self.SLOTS, -1, np.int64)
+        self.has = np.zeros(self.SLOTS, bool)
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``has_arc`` of many pairs: a direct-mapped table, filled where a pair is missing."""
+        key = a.astype(np.int64) * self.auto.wide + b
+        slot = (key * 0x9E3779B1 >> 7) & (self.SLOTS - 1)
+        out = self.has[slot]
+        miss = np.flatnonzero(self.keys[slot] != key)
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            wide, has_arc = self.auto.wide, self.auto.find_arc
+            value = np.array([has_arc(k // wide, k % wide) for k in new.tolist()], bool)
+            out[miss] = value[back]
+            at = (new * 0x9E3779B1 >> 7) & (self.SLOTS - 1)
+            self.keys[at], self.has[at] = new, value
+            # Of several new pairs for one slot the last stays, in both arrays.
+        return out
+
+    def walk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``last``, ``count``, ``start`` of every prefix, a row for each word, words at most ``LONGEST`` bytes."""
+        size = np.array([len(w) for w in words])
+        m, n = len(words), int(size.max(initial=0))
+        raw = np.zeros((m, n), np.uint8)
+        raw[np.arange(n) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        last, count, start = np.full((m, n + 1), -1, np.int32), np.zeros((m, n + 1), np.int16), np.zeros((m, n + 1), np.int8)
+        for at in range(n):
+            rows = np.flatnonzero(size > at)
+            node = np.zeros(len(rows), np.int32)
+            for end in range(at + 1, n + 1):
+                node = self.next[(node << 8) + raw[rows, end - 1]]
+                on = (node >= 0) & (size[rows] >= end)
+                rows, node = rows[on], node[on]
+                if not len(rows):
+                    break
+                tok = self.token[node]
+                some = np.flatnonzero(tok >= 0)
+                if not len(some):
+                    continue
+                r, t = rows[some], tok[some]
+                if at:
+                    ok = self.allowed(last[r, at], t)
+                    r, t = r[ok], t[ok]
+                last[r, end], start[r, end], count[r, end] = t, at, count[r, at] + 1
+        if (last[np.arange(m), size] < 0).any() and size.min(initial=1) > 0:
+            raise ValueError("a byte is missing from the vocabulary")
+        return last, count, start
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word."""
+        out: list = [None] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= self.LONGEST]
+        if short:
+            last, count, start = self.walk([words[k] for k in short])
+            m = len(short)
+            at = np.array([len(words[k]) for k in short])
+            n = count[np.arange(m), at].astype(np.int64)
+            ids = np.zeros((m, max(int(n.max()), 1)), np.int32)
+            to, rows = n - 1, np.arange(m)
+            while len(rows := rows[at[rows] > 0]):
+                ids[rows, to[rows]] = last[rows, at[rows]]
+                at[rows], to[rows] = start[rows, at[rows]], to[rows] - 1
+            for k, row, c in zip(short, ids.tolist(), n.tolist()):
+                out[k] = row[:c]
+        for k, w in enumerate(words):
+            if out[k] is None:
+                out[k] = self.auto.encode_word(w)
+        return out
+
+
 class ByteLevelSplitter:
     """Pre-splitting of byte-level vocabularies, in pieces that can be cached.
 
     A single space between two non-blanks always opens a word of its own, so a text is the concatenation of its
-    space-separated pieces; texts with other blanks around a space are split as one piece.
+    space-separated pieces; texts with other blanks around a space are split as a whole.
     """
 
     def __init__(self, pattern: str, special: dict[str, int]):
@@ -166,15 +252,55 @@ class ByteLevelSplitter:
         return [(p, i % 2 == 1) for i, p in enumerate(self.special.split(text)) if p]
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The first piece, then those after single spaces, each with its space."""
-        if " " not in text:
-            return [text]
+    def keys(text: str) -> list:
+        """The space-separated pieces of a text: the first as a tuple, those after a space as they are."""
         parts = text.split(" ")
-        # isspace() is true of more characters than the pattern's blanks; the slower way is right for all.
-        if "" in parts or text[0].isspace() or text[-1].isspace() or any(p[0].isspace() or p[-1].isspace() for p in parts if not (p[0].isalnum() and p[-1].isprintable() and p[-1] > " ")):
-            return [text]
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        parts[0] = (parts[0],)
+        return parts
+
+    @staticmethod
+    def spelled(key) -> str | None:
+        """The characters that a key stands for; None if it begins or ends with a blank, so that its words depend on its neighbours."""
+        text = key[0] if key.__class__ is tuple else key
+        # isspace() is true of more characters than the pattern's blanks, which only costs time.
+        if not text or text[0].isspace() or text[-1].isspace():
+            return None
+        return text if key.__class__ is tuple else " " + text
+
+
+class PieceCache:
+    """What a worker remembers of words and pieces; ``of_words(words)`` and ``of_piece(words, values)`` make it."""
+
+    def __init__(self, splitter: ByteLevelSplitter, of_words, of_piece, words: int, pieces: int):
+        self.split, self.of_words, self.of_piece = splitter, of_words, of_piece
+        self.words, self.pieces = TwoGenerations(words), TwoGenerations(pieces)
+
+    def value(self, text: str):
+        """The value of a text that is split as a whole."""
+        words = self.split.words(text)
+        known = self.words.fetch(set(words), self.of_words)
+        return self.of_piece(text, words, [known[w] for w in words])
+
+    def _make(self, keys: list) -> list:
+        texts = [self.split.spelled(k) for k in keys]
+        words = [None if t is None else self.split.words(t) for t in texts]
+        known = self.words.fetch({w for ws in words if ws for w in ws}, self.of_words)
+        values = [None if ws is None else [known[w] for w in ws] for ws in words]
+        return [None if ws is None else self.of_piece(t, ws, v) for t, ws, v in zip(texts, words, values)]
+
+    def batch(self, texts: list[str], most: int = 150_000) -> Iterator[list]:
+        """For each text, the values of its pieces in order."""
+        at = 0
+        while at < len(texts):  # some texts at a time: few calls, and a bounded set of keys
+            keys, size = [], 0
+            while at < len(texts) and size < most:
+                keys.append(self.split.keys(texts[at]))
+                size += len(keys[-1])
+                at += 1
+            known = self.pieces.fetch(set().union(*keys), self._make)
+            for k, text in zip(keys, texts[at - len(keys) : at]):
+                got = [known[p] for p in k]
+                yield got if None not in got else [self.value(text)] if text else []
 
 
 def load_spec(path: str) -> dict:
@@ -202,31 +328,28 @@ class _Encoder:
 
     def __init__(self, path: str):
         self.auto, self.split = coder(path)
-        self.pieces, self.words = TwoGenerations(PIECE_LIMIT), TwoGenerations(WORD_LIMIT)
-
-    def _make_words(self, words: list[str]):
-        return [self.auto.encode_word(w.encode()) for w in words]
-
-    def _make(self, pieces: list[str]):
-        out = []
-        for p in pieces:
-            words = self.split.words(p)
-            known = self.words.fetch(words, self._make_words)
-            ids = [i for w in words for i in known[w]]
-            out.append((",".join(map(str, ids)), len(ids), self.auto.decode(ids)))
-        return out
-
-    def encode(self, text: str) -> list[tuple[str, int, bytes]]:
-        out: list = []
-        for part, is_special in self.split.segments(text):
-            if is_special:
-                i = self.auto.special[part]
-                out.append((str(i), 1, self.auto.emit[i]))
+        self.walker = BatchWalker(self.auto)
+        self.cache = PieceCache(self.split, lambda words: self.walker.encode([w.encode() for w in words]), self._piece, WORD_LIMIT, PIECE_LIMIT)
+
+    def _piece(self, text: str, words: list[str], values: list[list[int]]):
+        ids = [i for v in values for i in v]
+        return ",".join(map(str, ids)), len(ids), self.auto.decode(ids)
+
+    def encode_batch(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
+        plain = [not any(m in t for m in self.split.marks) for t in texts]
+        whole = self.cache.batch([t for t, p in zip(texts, plain) if p])
+        for text, p in zip(texts, plain):
+            if p:
+                yield next(whole)
             else:
-                pieces = self.split.pieces(part)
-                known = self.pieces.fetch(pieces if len(pieces) < 64 else set(pieces), self._make)
-                out += [known[p] for p in pieces]
-        return out
+                out: list = []
+                for part, is_special in self.split.segments(text):
+                    if is_special:
+                        i = self.auto.special[part]
+                        out.append((str(i), 1, self.auto.emit[i]))
+                    else:
+                        out += next(self.cache.batch([part]))
+                yield out
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -244,12 +367,13 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _ENCODERS.setdefault(path, None) or _ENCODERS.__setitem__(path, _Encoder(path)) or _ENCODERS[path]
+        if path not in _ENCODERS:
+            _ENCODERS[path] = _Encoder(path)
+        enc = _ENCODERS[path]
         sha = hashlib.sha256
         for batch in batches:
             n, a, b, ids, back = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                parts = enc.encode(text)
+            for parts in enc.encode_batch(batch.column(1).to_pylist()):
                 joined = ",".join([p[0] for p in parts])
                 decoded = b"".join([p[2] for p in parts])
                 n.append(sum([p[1] for p in parts]))

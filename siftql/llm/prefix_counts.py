@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftql.llm._shared import TwoGenerations, text_or_empty
-from siftql.llm.bpe_automaton import WORD_LIMIT, coder
+from siftql.llm._shared import text_or_empty
+from siftql.llm.bpe_automaton import WORD_LIMIT, BatchWalker, PieceCache, coder
 
 PIECE_LIMIT = 300_000
 
@@ -30,73 +30,74 @@ PIECE_LIMIT = 300_000
 class PrefixCounter:
     def __init__(self, path: str):
         self.auto, self.split = coder(path)
-        self.words, self.pieces = TwoGenerations(WORD_LIMIT), TwoGenerations(PIECE_LIMIT)
+        self.walker = BatchWalker(self.auto)
+        self.cache = PieceCache(self.split, self._of_words, self._of_piece, WORD_LIMIT, PIECE_LIMIT)
 
-    def _make_words(self, words: list[str]):
+    def _of_words(self, words: list[str]) -> list[list[int]]:
         """The counts at the code-point prefixes of each word, from 1 on."""
-        out = []
-        for w in words:
-            raw = w.encode()
-            _, count = self.auto.walk(raw)
-            if len(raw) == len(w):
-                out.append(count[1:])
+        raw = [w.encode() for w in words]
+        out: list = [None] * len(words)
+        short = [k for k, r in enumerate(raw) if len(r) <= self.walker.LONGEST]
+        if short:
+            for k, row in zip(short, self.walker.walk([raw[k] for k in short])[1].tolist()):
+                out[k] = row
+        for k, (w, r) in enumerate(zip(words, raw)):
+            row = self.auto.walk(r)[1] if out[k] is None else out[k]
+            if len(r) == len(w):
+                out[k] = row[1 : len(r) + 1]
             else:
                 ends, at = [], 0
                 for c in w:
-                    at += 1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4
-                    ends.append(count[at])
-                out.append(ends)
+                    at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+                    ends.append(row[at])
+                out[k] = ends
         return out
 
     def _whole(self, text: str) -> int:
         words = self.split.words(text)
-        known = self.words.fetch(words, self._make_words)
+        known = self.cache.words.fetch(set(words), self._of_words)
         return sum([known[w][-1] for w in words])
 
-    def _make(self, pieces: list[str]):
-        """For each piece, its counts as differences (two bytes each, little-endian) and their sum."""
-        out = []
-        for p in pieces:
-            words = self.split.words(p)
-            known = self.words.fetch(words, self._make_words)
-            counts: list[int] = []
-            total, begin, before = 0, 0, ""
-            tables = [known[w] for w in words]
-            for w, own in zip(words, tables):
-                odd = (w[0] == "'" and len(w) > 2) or w[0].isspace() and (len(w) == 1 or w[1].isspace() or before[-1:].isspace())
-                if odd:
-                    start, base = (begin - len(before), total - back) if before else (begin, total)
-                    counts += [base + self._whole(p[start : begin + k]) for k in range(1, len(w) + 1)]
-                else:
-                    counts += [total + c for c in own] if total else own
-                begin += len(w)
-                back = own[-1]  # of the word alone, as it counts in longer prefixes
-                total += back
-                before = w
-            diffs = array("h", [b - a for a, b in zip([0, *counts], counts)])
-            if sys.byteorder == "big":
-                diffs.byteswap()
-            out.append((diffs.tobytes(), total))
-        return out
-
-    def table(self, text: str) -> tuple[bytes, int]:
-        """The differences over the prefixes of ``text``, and its number of tokens."""
-        out: list[tuple[bytes, int]] = []
-        for part, is_special in self.split.segments(text):
-            if is_special:  # its prefixes are ordinary text
-                inner, n = self.table_of_ordinary(part)
-                diffs = np.frombuffer(inner, "<i2").copy()
-                diffs[-1] += 1 - n
-                out.append((diffs.tobytes(), 1))
+    def _of_piece(self, text: str, words: list[str], tables: list[list[int]]) -> tuple[bytes, int]:
+        """The counts of a piece as differences (two bytes each, little-endian), and their sum."""
+        counts: list[int] = []
+        total, begin, before, back = 0, 0, "", 0
+        for w, own in zip(words, tables):
+            odd = (w[0] == "'" and len(w) > 2) or w[0].isspace() and (len(w) == 1 or w[1].isspace() or before[-1:].isspace())
+            if odd:
+                start, base = (begin - len(before), total - back) if before else (begin, total)
+                counts += [base + self._whole(text[start : begin + k]) for k in range(1, len(w) + 1)]
             else:
-                out.append(self.table_of_ordinary(part))
-        return b"".join([x[0] for x in out]), sum([x[1] for x in out])
+                counts += [total + c for c in own] if total else own
+            begin += len(w)
+            back = own[-1]  # of the word alone, as it counts in longer prefixes
+            total += back
+            before = w
+        diffs = array("h", [b - a for a, b in zip([0, *counts], counts)])
+        if sys.byteorder == "big":
+            diffs.byteswap()
+        return diffs.tobytes(), total
+
+    def batch(self, texts: list[str]) -> Iterator[tuple[bytes, int]]:
+        """For each text, the differences over its prefixes and its number of tokens."""
+        plain = [not any(m in t for m in self.split.marks) for t in texts]
+        whole = self.cache.batch([t for t, p in zip(texts, plain) if p])
+        for text, p in zip(texts, plain):
+            out: list[tuple[bytes, int]] = []
+            if p:
+                out = next(whole)
+            else:
+                for part, is_special in self.split.segments(text):
+                    got = next(self.cache.batch([part]))
+                    if is_special:  # its proper prefixes are ordinary text
+                        diffs = np.frombuffer(b"".join([x[0] for x in got]), "<i2").copy()
+                        diffs[-1] += 1 - sum([x[1] for x in got])
+                        got = [(diffs.tobytes(), 1)]
+                    out += got
+            yield b"".join([x[0] for x in out]), sum([x[1] for x in out])
 
-    def table_of_ordinary(self, part: str) -> tuple[bytes, int]:
-        pieces = self.split.pieces(part)
-        known = self.pieces.fetch(pieces if len(pieces) < 64 else set(pieces), self._make)
-        got = [known[p] for p in pieces]
-        return b"".join([g[0] for g in got]), sum([g[1] for g in got])
+    def table(self, text: str) -> tuple[bytes, int]:
+        return next(self.batch([text]))
 
 
 def counts_of(table: bytes) -> np.ndarray:
@@ -131,8 +132,7 @@ def prefix_token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text
             texts = batch.column(1).to_pylist()
             tables, totals = [], []
             within: list[list[int]] = [[] for _ in budgets]
-            for text in texts:
-                table, n = counter.table(text)
+            for text, (table, n) in zip(texts, counter.batch(texts)):
                 totals.append(n)
                 if keep_table:
                     tables.append(table)

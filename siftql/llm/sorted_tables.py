@@ -35,7 +35,8 @@ BLOCK_BYTES = 64 * 1024
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index at, filter at, filter end, entries, ids, blocks, width, magic
 INDEX = struct.Struct("<9sBHQIIQ")  # first key, -, entries, offset, length, crc32, ids before
 BITS_PER_KEY, PROBES = 10, 7
-PIECE_LIMIT = 400_000
+PIECE_LIMIT = 300_000
+WORD_LIMIT = 300_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -160,7 +161,8 @@ class Shard:
 class PieceEncoder:
     """Ids of a text by the tokenizers library, remembered for space-separated pieces.
 
-    It is exact for vocabularies that drop white space before splitting: no token then spans a space.
+    It is exact for vocabularies that lower the case and drop white space before splitting, as the file of this operator does:
+    no token then spans a space, or a letter and a mark.
     """
 
     def __init__(self, path: str):
@@ -170,14 +172,28 @@ class PieceEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
-        self.pieces = TwoGenerations(PIECE_LIMIT)
+        self.pieces, self.words = TwoGenerations(PIECE_LIMIT), TwoGenerations(WORD_LIMIT)
 
-    def _make(self, pieces: list[str]) -> list[bytes]:
+    def _of_words(self, words: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [np.array(e.ids, kind).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _make(self, pieces: list[str]) -> list[bytes]:
+        """Closing points and commas after a letter are words of their own, so pieces that differ in them share an encoding."""
+        cores = []
+        for p in pieces:
+            core = p.rstrip(".,")
+            cores.append(core if core and core[-1].isalpha() else p)
+        known = self.words.fetch(dict.fromkeys([*cores, *[p[len(c) :] for p, c in zip(pieces, cores) if len(c) < len(p)]]), self._of_words)
+        return [known[c] if len(c) == len(p) else known[c] + known[p[len(c) :]] for p, c in zip(pieces, cores)]
+
+    @staticmethod
+    def _folded(text: str) -> str:
+        """Lower case and plain spaces, which the vocabulary's normalizer makes anyway; a sigma is lowered by its place, so it is left."""
+        return (text if "\u03a3" in text else text.lower()).replace("\n", " ")
 
     def encode_batch(self, texts: list[str], end: bytes) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        split = [self._folded(t).split(" ") for t in texts]
         out, at = [], 0
         while at < len(split):  # some texts at a time, for few calls of the library and a bounded set of keys
             upto, size = at, 0
