@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftql.llm import bag_minhash, bpe_automaton, mixing, multi_index, prefix_counts, quality_classifier, quality_rules, secret_scan, sorted_tables
+from siftql.llm import bag_minhash, bpe_automaton, lm_scoring, mixing, multi_index, prefix_counts, quality_classifier, quality_rules, secret_scan, sorted_tables
 from siftql.llm._shared import read_table
 
 
@@ -16,6 +16,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -76,5 +80,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans", "n_guess")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op3_multi_index, op4_quality_rules, op5_quality_classifier, op6_token_counts, op7_sorted_tables, op8_bag_minhash, op9_bpe_automaton, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_lm_scoring, op3_multi_index, op4_quality_rules, op5_quality_classifier, op6_token_counts, op7_sorted_tables, op8_bag_minhash, op9_bpe_automaton, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
