@@ -63,7 +63,11 @@ def _repeats(words: str) -> Column:
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_m`` of the measurements (all long) and nothing else changed."""
+    """``docs`` with the measurements (all long) as columns, and nothing else changed.
+
+    They come out of a generator, below which the optimizer pushes no predicate on them: written out into such a predicate,
+    the sorted arrays would be computed again for each of their elements.
+    """
     text = text_or_empty(text_col)
     has_word = r"[^\x20\x09-\x0D]"
     out = docs.withColumn("_w", F.filter(F.split(text, BLANKS), lambda x: x != ""))
@@ -86,7 +90,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         F.length(F.regexp_replace(text, r"[^A-Z]+", "")).cast("long").alias("n_upper"),
     )
-    return out.withColumn("_m", m).drop("_w", "_h", "_s", "_any", "_p", "_at", "_l")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(m)))
 
 
 def _safe(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
@@ -104,7 +108,7 @@ def ledger(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
     carry = ["doc_id"] if carry is None else carry
     if clash := {*carry} & {*MEASURES, "failures"}:
         raise ValueError(f"carried columns clash with the ledger's: {sorted(clash)}")
-    out = measure(_safe(docs, text_col, carry), "_text").select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)], "_m.*")
+    out = measure(_safe(docs, text_col, carry), "_text").select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)], *MEASURES)
     bits = [F.when(F.expr(r.fails), F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(RULES)]
     total = bits[0]
     for b in bits[1:]:
@@ -144,11 +148,5 @@ def keep_good(docs: DataFrame, policy: Policy = DEFAULT, text_col: str = "text")
     bad = F.lit(False)
     for r in RULES:
         if r.name in policy.rules:
-            bad = bad | F.expr(_qualified(r.fails))
+            bad = bad | F.expr(r.fails)
     return out.where(~bad).select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(names)])
-
-
-def _qualified(sql: str) -> str:
-    import re
-
-    return re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_m.\1", sql)
