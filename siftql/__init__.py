@@ -1 +1,5 @@
-"""A MySQL-flavoured SQL dialect, a filter language and an expression language on Spark DataFrames."""
+"""A dynamic query language on Spark: expressions, filters and SQL compiled to DataFrames."""
+
+from siftql.engine import Engine
+
+__all__ = ["Engine"]
