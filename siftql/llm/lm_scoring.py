@@ -18,6 +18,7 @@ dictionary.  Word counts of the corpus meet the dictionaries in one shuffled joi
 from __future__ import annotations
 
 import base64
+import copy
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,25 +27,28 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftql.llm._shared import crc_of_id, materialize, text_or_empty
 
 HELD_OUT, FOLDS = 2, 7
-UNIT_BYTES = 8 << 20
-BLOCK = 32
+UNIT_BYTES = 32 << 20
+#: Subwords that are laid out at once.
+PART = 400_000
+BLOCK = 16
 WIDTH, HIDDEN = 16, 32
 #: Subwords with an embedding of their own; the rest share two, for beginnings and insides of words.
 TOP = 2_048
 #: Left neighbours that classes are told apart by.
 LEFT = 256
-CLASSES = 96
-ROUNDS, EVERY, WINDOWS, BATCH, RATE = 3, 16, 8_000, 64, 3e-3
+CLASSES = 64
+ROUNDS, EVERY, WINDOWS, BATCH, RATE = 3, 64, 16_000, 128, 3e-3
 #: Weight of a token's share in its class against its counts after one neighbour.
 KAPPA = 4.0
 #: Blocks that are scored at once.
-SCORED = 256
+SCORED = 128
 END_HASH = 2**64 - 1
 
 _CODERS: dict[str, tuple] = {}
@@ -81,6 +85,14 @@ def spell(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(n)
 
 
+def _pressed(x: np.ndarray, kind: str) -> bytes:
+    return zstandard.compress(x.astype(kind).tobytes(), 1)
+
+
+def _unpressed(b: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), kind)
+
+
 def _units(docs: DataFrame, path: str) -> DataFrame:
     """Units of ``id``, ``held``, ``text``; dictionary entry 0 is the end."""
 
@@ -90,9 +102,9 @@ def _units(docs: DataFrame, path: str) -> DataFrame:
         hashes = [END_HASH, *[xxhash.xxh3_64_intdigest(w) for w in names[1:]]]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([unit], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([np.concatenate(words).astype("<u4").tobytes()], pa.binary()),
+                pa.array([unit], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([_pressed(np.concatenate(words), "<u4")], pa.binary()),
                 pa.array([np.array(hashes, np.uint64).view(np.int64)], pa.list_(pa.int64())),
-                pa.array([train.astype(np.int64)], pa.list_(pa.int64())), pa.array([np.concatenate([[1], size]).astype("<u4").tobytes()], pa.binary()), pa.array([np.concatenate([[end], subs]).astype("<u2").tobytes()], pa.binary()),
+                pa.array([train.astype(np.int64)], pa.list_(pa.int64())), pa.array([_pressed(np.concatenate([[1], size]), "<u4")], pa.binary()), pa.array([_pressed(np.concatenate([[end], subs]), "<u2")], pa.binary()),
             ],
             ["unit", "ids", "held", "n", "words", "hashes", "train", "sub_n", "subs"],
         )
@@ -114,7 +126,7 @@ def _units(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for i, h, text in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode().lower()
-                got = np.array([*map(local.__getitem__, raw.split()), 0], np.int64)
+                got = np.array([*map(local.__getitem__, raw.split()), 0], np.uint32)
                 ids.append(i)
                 held.append(h)
                 n.append(len(got))
@@ -153,9 +165,9 @@ class Unit:
     def __init__(self, row: dict, train_only: bool = False):
         self.held = np.array(row["held"], bool)
         self.n = np.array(row["n"], np.int64)
-        self.words = np.frombuffer(row["words"], "<u4").astype(np.int64)
-        self.sub_n = np.frombuffer(row["sub_n"], "<u4").astype(np.int64)
-        self.subs = np.frombuffer(row["subs"], "<u2").astype(np.int64)
+        self.words = _unpressed(row["words"], "<u4")
+        self.sub_n = _unpressed(row["sub_n"], "<u4").astype(np.int64)
+        self.subs = _unpressed(row["subs"], "<u2").astype(np.int64)
         self.crc = np.array([zlib.crc32(str(i).encode()) for i in row["ids"]], np.int64)
         if train_only and self.held.any():
             keep = ~self.held
@@ -163,6 +175,20 @@ class Unit:
             self.n, self.crc, self.held = self.n[keep], self.crc[keep], self.held[keep]
         self.start = np.cumsum(self.sub_n) - self.sub_n
 
+    def parts(self, most: int = PART) -> Iterator[Unit]:
+        """The unit in parts of whole texts with about ``most`` subwords, so that what is laid out of it is bounded."""
+        if not len(self.n):
+            return
+        ends = np.cumsum(self.n)
+        upto = np.cumsum(self.per_doc(self.sub_n))
+        cuts = [*np.unique(np.searchsorted(upto, np.arange(most, upto[-1], most)) + 1), len(self.n)]
+        for a, b in zip([0, *cuts], cuts):
+            if a < b:
+                part = copy.copy(self)
+                part.words = self.words[ends[a - 1] if a else 0 : ends[b - 1]]
+                part.n, part.crc, part.held = self.n[a:b], self.crc[a:b], self.held[a:b]
+                yield part
+
     def per_doc(self, of_word: np.ndarray) -> np.ndarray:
         """Sums of a number of each dictionary entry over the words of each text."""
         return np.add.reduceat(of_word[self.words], np.cumsum(self.n) - self.n) if len(self.n) else np.empty(0)
@@ -295,12 +321,44 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first:
     return {"both": both, "q": q, "k": k, "v": v, "a": s, "o": o, "h1": h1, "f": f, "h2": h1 + f @ m["w2"]}
 
 
-def class_log_probs(m: dict[str, np.ndarray], h2: np.ndarray, target: np.ndarray) -> np.ndarray:
-    z = h2.reshape(-1, WIDTH) @ m["c"] + m["bc"]
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(z)), target]
-    np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+class Scorer:
+    """The forward pass without what only training needs: scales and biases are folded into matrices, and sums of
+    exponentials are products with ones.  Exponents are shifted only if one is large.
+    """
+
+    def __init__(self, m: dict[str, np.ndarray]):
+        self.m = m
+        self.q = m["q"] * np.float32(WIDTH**-0.5)
+        self.bias = _MASK - m["slope"] * np.maximum(_BACK, 0)
+        self.v = np.hstack([m["v"], np.zeros((WIDTH, 1), np.float32)])
+        self.one = np.float32([0] * WIDTH + [1])
+        self.ones = np.ones(m["c"].shape[1], np.float32)
+
+    def __call__(self, both: np.ndarray, first: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the target classes; ``both``: embedded windows (blocks, 2 * BLOCK, WIDTH)."""
+        m, x = self.m, np.ascontiguousarray(both[:, BLOCK:]).reshape(-1, WIDTH)
+        flat = both.reshape(-1, WIDTH)
+        s = (x @ self.q).reshape(-1, BLOCK, WIDTH) @ (flat @ m["k"]).reshape(both.shape).transpose(0, 2, 1)
+        s += self.bias
+        s[first, :, :BLOCK] = -1e9
+        if s.max() > 60:
+            s -= s.max(2, keepdims=True)
+        np.exp(s, out=s)
+        v = flat @ self.v
+        v += self.one
+        o = (s @ v.reshape(-1, 2 * BLOCK, WIDTH + 1)).reshape(-1, WIDTH + 1)
+        h = x + (o[:, :WIDTH] / o[:, WIDTH:]) @ m["o"]
+        f = h @ m["w1"]
+        f += m["b1"]
+        np.maximum(f, 0, out=f)
+        h += f @ m["w2"]
+        z = h @ m["c"]
+        z += m["bc"]
+        if z.max() > 60:
+            z -= z.max(1, keepdims=True)
+        own = z[np.arange(len(z)), target]
+        np.exp(z, out=z)
+        return own - np.log(z @ self.ones)
 
 
 def gradients(m: dict[str, np.ndarray], tokens: np.ndarray, target: np.ndarray, real: np.ndarray, first: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -376,20 +434,23 @@ def train_on(model: dict[str, np.ndarray], rows: Iterator[dict], vocab: Vocabula
     opt, seen = Adam(model, rate), 0
     rng = np.random.default_rng(k)
     for row in rows:
-        unit = Unit(row, train_only=True)
-        if not len(unit.n):
+        windows, targets, opening = [], [], []
+        for unit in Unit(row, train_only=True).parts():
+            given, target, first, doc = _blocks(*unit.flat(vocab.token), end)
+            number = np.arange(len(first)) - np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            b = np.flatnonzero(((unit.crc[doc] * 2_654_435_761 + number * 40_503_001) >> 7) % every == k % every)
+            windows.append(np.concatenate([given[np.maximum(b - 1, 0)], given[b]], 1))
+            targets.append(target[b])
+            opening.append(first[b])
+        if not windows:
             continue
-        given, target, first, doc = _blocks(*unit.flat(vocab.token), end)
-        number = np.arange(len(first)) - np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        draw = ((unit.crc[doc] * 2_654_435_761 + number * 40_503_001) >> 7) % every
-        picked = np.flatnonzero(draw == k % every)
-        rng.shuffle(picked)
-        seen += len(picked)
-        for at in range(0, len(picked), BATCH):
-            b = picked[at : at + BATCH]
+        window, target, first = np.concatenate(windows), np.concatenate(targets), np.concatenate(opening)
+        order = rng.permutation(len(first))
+        seen += len(order)
+        for at in range(0, len(order), BATCH):
+            b = order[at : at + BATCH]
             t = target[b]
-            window = np.concatenate([given[np.maximum(b - 1, 0)], given[b]], 1)
-            _, g = gradients(model, window, vocab.class_of_token[np.maximum(t, 0)], t >= 0, first[b])
+            _, g = gradients(model, window[b], vocab.class_of_token[np.maximum(t, 0)], t >= 0, first[b])
             opt.step(g)
     return seen
 
@@ -401,12 +462,11 @@ def score_unit(model: dict[str, np.ndarray], unit: Unit, vocab: Vocabulary, end:
     own = np.zeros(len(first))
     after = vocab.after.reshape(-1)
     classes = vocab.class_of_token[np.maximum(target, 0)]
-    before = np.zeros((1, BLOCK, WIDTH), np.float32)
+    score = Scorer(model)
+    before = np.concatenate([given[:1], given[:-1]])
     for at in range(0, len(first), SCORED):
-        x = model["e"][given[at : at + SCORED]]
-        h = forward(model, x, np.concatenate([before, x[:-1]]), first[at : at + SCORED])["h2"]
-        before = x[-1:]
-        lp = class_log_probs(model, h, classes[at : at + SCORED].ravel()).reshape(-1, BLOCK)
+        x = model["e"][np.concatenate([before[at : at + SCORED], given[at : at + SCORED]], 1)]
+        lp = score(x, first[at : at + SCORED], classes[at : at + SCORED].ravel()).reshape(-1, BLOCK)
         t = target[at : at + SCORED]
         lp += after[given[at : at + SCORED] * vocab.tokens + np.maximum(t, 0)]
         own[at : at + SCORED] = np.where(t >= 0, lp, 0).sum(1)
@@ -422,7 +482,7 @@ def fit(units: DataFrame, path: str) -> tuple[Vocabulary, dict[str, np.ndarray],
     def unigrams(rows):
         out = np.zeros(wide, np.int64)
         for r in rows:
-            size, subs = np.frombuffer(r["sub_n"], "<u4").astype(np.int64), np.frombuffer(r["subs"], "<u2")
+            size, subs = _unpressed(r["sub_n"], "<u4").astype(np.int64), _unpressed(r["subs"], "<u2")
             out += np.bincount(subs, np.repeat(np.array(r["train"], float), size), wide).astype(np.int64)
         at = np.flatnonzero(out)
         return at, out[at]
@@ -433,8 +493,7 @@ def fit(units: DataFrame, path: str) -> tuple[Vocabulary, dict[str, np.ndarray],
     def pairs(rows):
         out, blocks = np.zeros(vocab.tokens**2, np.int64), 0
         for r in rows:
-            unit = Unit(r, train_only=True)
-            if len(unit.n):
+            for unit in Unit(r, train_only=True).parts():
                 t, n = unit.flat(vocab.token)
                 out += np.bincount(np.concatenate([[end], t[:-1]]) * vocab.tokens + t, minlength=len(out))
                 blocks += int((-(-n // BLOCK)).sum())
@@ -495,7 +554,7 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 c[np.array(r["at"], np.int64)] = r["c"]
             base = unit.per_doc(np.log10((c + 1) / (n_all + n_words + 1)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r["ids"], id_type), pa.array(unit.held), pa.array(unit.n), pa.array(unit.per_doc((c > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(unit.n), n_all)), pa.array(base, pa.float64()), pa.array(score_unit(model, unit, vocab, end), pa.float64())],
+                [pa.array(r["ids"], id_type), pa.array(unit.held), pa.array(unit.n), pa.array(unit.per_doc((c > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(unit.n), n_all)), pa.array(base, pa.float64()), pa.array(np.concatenate([score_unit(model, part, vocab, end) for part in unit.parts()]), pa.float64())],
                 [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 

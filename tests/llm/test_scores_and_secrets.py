@@ -45,7 +45,7 @@ def test_model_is_a_distribution_and_batches_agree(spark, sf):
     unit = lm_scoring.Unit(units.first().asDict())
     got = lm_scoring.score_unit(model, unit, vocab, end)
     tokens, n = unit.flat(vocab.token)
-    within_all, _ = unit.flat(np.arange(len(unit.subs)))
+    within_all, _ = unit.flat(np.arange(len(vocab.token)))
     at = 0
     for d in range(4):  # one token at a time, with its own window
         own, total = tokens[at : at + n[d]], 0.0
@@ -61,11 +61,25 @@ def test_model_is_a_distribution_and_batches_agree(spark, sf):
             h2 = h1 + np.maximum(h1 @ model["w1"] + model["b1"], 0) @ model["w2"]
             z = h2 @ model["c"] + model["bc"]
             c = vocab.class_of_token[own[i]]
-            total += z[c] - z.max() - np.log(np.exp(z - z.max()).sum()) + vocab.after[given[i], own[i]] + vocab.within[unit.subs[within_all[at + i]]]
+            total += z[c] - z.max() - np.log(np.exp(z - z.max()).sum()) + vocab.after[given[i], own[i]] + vocab.within[within_all[at + i]]
         assert got[d] == pytest.approx(total / math.log(10), rel=1e-3)
         at += n[d]
 
 
+def test_gradients_are_slopes():
+    rng, b = np.random.default_rng(0), lm_scoring.BLOCK
+    vocab = type("V", (), {"tokens": 12, "classes": 6, "prior": np.log(np.ones(6) / 6)})
+    m = {k: v.astype(float) + 0.1 * rng.standard_normal(v.shape) for k, v in lm_scoring.start_model(vocab, rng.integers(0, 9, (12, 6)).astype(float)).items()}
+    batch = rng.integers(0, 12, (3, 2 * b)), rng.integers(0, 6, (3, b)), rng.random((3, b)) < 0.8, np.array([True, False, False])
+    _, g = lm_scoring.gradients(m, *batch)
+    for k in m:
+        i = tuple(rng.integers(0, n) for n in m[k].shape)
+        up, down = ({**m, k: m[k].copy()} for _ in range(2))
+        up[k][i] += 1e-5
+        down[k][i] -= 1e-5
+        assert (lm_scoring.gradients(up, *batch)[0] - lm_scoring.gradients(down, *batch)[0]) / 2e-5 == pytest.approx(g[k][i], rel=1e-3, abs=1e-6)
+
+
 def test_spelling_is_the_librarys():
     words = ["the", "naïve", "it's", "x" * 400, " a　", "12ab,", "漢字"]
     ids, n = lm_scoring.spell([w.encode() for w in words], RANKS)
