@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftql.llm._shared import materialize, release, text_or_empty
@@ -32,7 +32,10 @@ BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 #: Pairs whose signatures agree in less than this share are not verified: 0.8 would be off by 5.6 standard deviations.
 LEAST_AGREEMENT = 0.6
-STAR_ROUNDS = 3
+#: Buckets of up to so many documents send out their pairs, at most this number for each document; larger ones are compared inside.
+SMALL_BUCKET = 8
+#: Documents of each side that meet in one group.
+CHUNK = 512
 
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -177,6 +180,61 @@ def _bags(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, bag binary")
 
 
+def _numbered(bag: np.ndarray) -> np.ndarray:
+    """A sorted array with repeats as a sorted one without: the second, third ... of equal hashes get hashes of their own."""
+    new = np.r_[True, bag[1:] != bag[:-1]] if len(bag) else np.empty(0, bool)
+    if new.all():
+        return bag
+    at = np.arange(len(bag))
+    nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return np.sort(np.where(new, bag, _mix(bag + nth * _GOLD)))
+
+
+def _links_within(table: pa.Table) -> pa.Table:
+    """Links between the two chunks of a bucket that join components; every pair is met in the first band that it shares."""
+    own = {c: table.column(c) for c in table.column_names}
+    ids, n, comp = (own[c].to_numpy() for c in ("id", "n", "comp"))
+    band, i, j = (own[c][0].as_py() for c in ("band", "i", "j"))
+    r = own["r"].to_numpy()
+    left, right = np.flatnonzero(r == i), np.flatnonzero(r == j)
+    low = np.frombuffer(b"".join(own["low"].to_pylist()), np.uint8).reshape(-1, M)
+    keys = own["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    bags = [_numbered(np.frombuffer(x, np.uint64)) for x in own["bag"].to_pylist()]
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            top[x] = top.get(y, y)
+            x = y
+        return x
+
+    a, b = [], []
+    for at in range(0, len(left), 32):
+        some = left[at : at + 32]
+        hit = (low[some][:, None] == low[right][None]).mean(2) >= LEAST_AGREEMENT
+        hit &= (keys[some][:, None] == keys[right][None]).argmax(2) == band
+        x, y = n[some][:, None], n[right][None]
+        hit &= (np.minimum(x, y) >= THRESHOLD * np.maximum(x, y)) & (comp[some][:, None] != comp[right][None])
+        if i == j:
+            hit &= some[:, None] < right[None]
+        for k, p in enumerate(some.tolist()):
+            # What an earlier link has joined needs no check; members of one component are checked until one links.
+            others = [q for q in right[hit[k]].tolist() if find(comp[q]) != find(comp[p])]
+            if not others:
+                continue
+            sizes = np.array([len(bags[q]) for q in others])
+            cat = np.concatenate([bags[q] for q in others])
+            mine = bags[p]
+            both = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, cat), len(mine) - 1)] == cat, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for q in np.array(others)[both / (len(mine) + sizes - both) >= THRESHOLD].tolist():
+                c, d = find(comp[p]), find(comp[q])
+                if c != d:
+                    top[max(c, d)] = min(c, d)
+                    a.append(ids[p])
+                    b.append(ids[q])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of near-duplicate documents.
 
@@ -188,9 +246,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     included, link with nothing.  Identifiers are taken as unique; rows with a null one stay alone, with a null class.
     Extra columns are not read.  An empty table gives no rows.
 
-    Documents with equal multisets are one class from the start.  Within a band, representatives first meet one pivot each
-    round (stars, not all pairs); then every pair of one band that is still in two components is verified.  Links inside a
-    component cannot change it, so no class loses a link for which a band was found.
+    Documents with equal multisets are one class from the start.  Within a band, representatives first meet one pivot (a
+    star, not all pairs), which gathers large groups of near copies.  Buckets that still hold several components are then
+    compared whole: small ones by their pairs, larger ones inside groups of at most two chunks, which give out links that
+    join components rather than pairs.  Links inside a component cannot change it, so no class loses a link for which a
+    band was found.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     some = rows.where("id is not null")
@@ -201,46 +261,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(full.join(copies.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "keys", "low"), "reps")
     member = materialize(sketches.select("id", "print", "n").join(copies, "print", "left").select("id", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "members")
     release(sketches)
-    banded = reps.select("id", "n", F.posexplode("keys").alias("band", "key")).select("id", "n", F.xxhash64("band", "key").alias("key"))
+    banded = reps.select("id", "n", F.posexplode("keys").alias("band", "key")).select("id", "n", "band", F.xxhash64("band", "key").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     banded = materialize(banded.join(shared, "key", "left_semi"), "bands")
     touched = banded.select("id").distinct()
     bags = materialize(_bags(some.join(touched, "id", "left_semi")), "bags")
     low = reps.select("id", "low")
-    labels = None  # id, component
-    links = None
 
     def check(pairs: DataFrame) -> DataFrame:
         with_low = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("low_b")), "b")
         return materialize(_verify(materialize(_agree(with_low), "agreeing"), bags), "links")
 
-    def labelled() -> DataFrame:
-        if labels is None:
-            return banded.withColumn("comp", F.col("id"))
-        return banded.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-
-    fits = (F.least("n", "pn") >= THRESHOLD * F.greatest("n", "pn")) & (F.col("comp") != F.col("pcomp"))
-    for k in range(STAR_ROUNDS):
-        now = labelled()
-        order = F.struct(F.col("id").alias("o") if k == 0 else F.xxhash64("id", F.lit(k)).alias("o"), F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-        pivots = now.groupBy("key").agg(F.min(order).alias("s"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "s.p", "s.pn", "s.pcomp")
-        pairs = now.join(pivots, "key").where(fits & (F.col("id") != F.col("p"))).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        new = check(pairs)
-        if k and new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        labels = components(links)
-    now = labelled()
-    open_ = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    now = materialize(now.join(open_, "key", "left_semi"), "open")
-    comps = now.groupBy("key", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    # Components of one band that some lengths allow to touch, then their members.
-    x, y = comps.alias("x"), comps.alias("y")
-    touching = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.n1") >= THRESHOLD * F.col("y.n0")) & (F.col("y.n1") >= THRESHOLD * F.col("x.n0"))).select(F.col("x.key").alias("key"), F.col("x.comp").alias("cx"), F.col("y.comp").alias("cy"))
-    left = now.select("key", F.col("comp").alias("cx"), F.col("id").alias("i"), F.col("n").alias("ni"))
-    right = now.select("key", F.col("comp").alias("cy"), F.col("id").alias("j"), F.col("n").alias("nj"))
-    pairs = touching.join(left, ["key", "cx"]).join(right, ["key", "cy"]).where(F.least("ni", "nj") >= THRESHOLD * F.greatest("ni", "nj"))
-    links = links.union(check(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()))
+    of = lambda x, y: F.least(x, y) >= THRESHOLD * F.greatest(x, y)
+    pivots = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("s")).select("key", F.col("s.id").alias("p"), F.col("s.n").alias("pn"))
+    links = check(banded.join(pivots, "key").where((F.col("id") != F.col("p")) & of("n", "pn")).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct())
+    labels = components(links)
+    now = banded.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    open_ = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("key", "size")
+    now = materialize(now.join(open_, "key"), "open")
+    few = now.where(F.col("size") <= SMALL_BUCKET)
+    other = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    pairs = few.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & of("n", "n2")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    chunks = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
+    many = now.where(F.col("size") > SMALL_BUCKET).withColumn("r", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+    many = many.withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("i", F.least("r", "o")).withColumn("j", F.greatest("r", "o")).drop("o", "size")
+    many = many.join(reps.select("id", "low", "keys"), "id").join(bags, "id")
+    inside = many.groupBy("key", "i", "j").applyInArrow(_links_within, "a long, b long")
+    links = links.union(check(pairs)).union(materialize(inside, "links"))
     labels = components(links)
     out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("id").alias("doc_id"), F.col("rep").alias("copy_id"), F.coalesce("component", "rep").alias("class_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
