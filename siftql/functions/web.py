@@ -100,7 +100,7 @@ def url_main(c, x):
 
 
 def _query(s, key):
-    raw = F.when(key.rlike(r"^[\w.-]+$"), F.regexp_extract(F.regexp_replace(s, "#.*$", ""), F.concat(F.lit("[?&]"), key, F.lit("=([^&]*)")), 1))
+    raw = F.when(key.rlike(r"^[\w.-]+$"), F.call_function("regexp_extract", F.regexp_replace(s, "#.*$", ""), F.concat(F.lit("[?&]"), key, F.lit("=([^&]*)")), F.lit(1)))
     return F.nullif(F.try_url_decode(F.regexp_replace(raw, r"%(?![0-9A-Fa-f]{2})", "%25")), F.lit(""))
 
 
