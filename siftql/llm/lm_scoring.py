@@ -37,18 +37,18 @@ HELD_OUT, FOLDS = 2, 7
 UNIT_BYTES = 32 << 20
 #: Subwords that are laid out at once.
 PART = 400_000
-BLOCK = 16
+BLOCK = 32
 WIDTH, HIDDEN = 16, 32
 #: Subwords with an embedding of their own; the rest share two, for beginnings and insides of words.
 TOP = 2_048
 #: Left neighbours that classes are told apart by.
 LEFT = 256
-CLASSES = 64
-ROUNDS, EVERY, WINDOWS, BATCH, RATE = 3, 64, 16_000, 128, 3e-3
+CLASSES = 96
+ROUNDS, EVERY, WINDOWS, BATCH, RATE = 3, 16, 8_000, 64, 3e-3
 #: Weight of a token's share in its class against its counts after one neighbour.
 KAPPA = 4.0
 #: Blocks that are scored at once.
-SCORED = 128
+SCORED = 64
 END_HASH = 2**64 - 1
 
 _CODERS: dict[str, tuple] = {}
