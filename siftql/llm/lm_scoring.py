@@ -8,8 +8,8 @@ softmax small.
 
 All training texts are counted.  Classes come from left contexts, and the embeddings start as a factorisation of the
 corpus's subword-to-next-class statistics; then rounds of data-parallel training follow: every task goes through its
-share of the windows with Adam, and the parameters are averaged.  A window is drawn for a round by a hash of its document
-and place; the share of windows does not change once a corpus has ``WINDOWS * EVERY`` of them.
+share of the windows with Adam, and the parameters are averaged.  A hash of its document and place deals every window of
+every training text to one of the rounds, so the rounds together are one full pass at any size.
 
 Texts are read once and packed in units: the words of up to ``UNIT_BYTES`` of text as numbers of the unit's own
 dictionary.  Word counts of the corpus meet the dictionaries in one shuffled join, so neither side is ever broadcast.
@@ -44,7 +44,7 @@ TOP = 2_048
 #: Left neighbours that classes are told apart by.
 LEFT = 256
 CLASSES = 96
-ROUNDS, EVERY, WINDOWS, BATCH, RATE = 3, 16, 8_000, 64, 3e-3
+ROUNDS, BATCH, RATE = 3, 64, 3e-3
 #: Weight of a token's share in its class against its counts after one neighbour.
 KAPPA = 4.0
 #: Blocks that are scored at once.
@@ -310,11 +310,12 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first:
     """Hidden states of blocks ``x`` (embedded inputs) after blocks ``before``, which count for nothing where ``first``."""
     both = np.concatenate([before, x], 1)
     q, k, v = x @ m["q"], both @ m["k"], both @ m["v"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + (_MASK - m["slope"] * np.maximum(_BACK, 0))
+    s = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    s += _MASK - m["slope"] * np.maximum(_BACK, 0)
     s[first, :, :BLOCK] = -1e9
     s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
+    s *= 1 / s.sum(2, keepdims=True)
     o = s @ v
     h1 = x + o @ m["o"]
     f = np.maximum(h1 @ m["w1"] + m["b1"], 0)
@@ -367,15 +368,17 @@ def gradients(m: dict[str, np.ndarray], tokens: np.ndarray, target: np.ndarray,
     x = x2[:, BLOCK:]
     t = forward(m, x, x2[:, :BLOCK], first)
     h2 = t["h2"].reshape(-1, WIDTH)
-    z = h2 @ m["c"] + m["bc"]
+    z = h2 @ m["c"]
+    z += m["bc"]
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    total = z.sum(1)
     y, on = target.ravel(), real.ravel()
     n = max(on.sum(), 1)
-    loss = -np.log(np.maximum(z[np.arange(len(z)), y], 1e-30))[on].sum() / n
-    z[np.arange(len(z)), y] -= 1
-    z *= (on / np.float32(n))[:, None].astype(np.float32)
+    loss = -np.log(np.maximum(z[np.arange(len(z)), y] / total, 1e-30))[on].sum() / n
+    each = (on / np.float32(n)).astype(np.float32)
+    z *= (each / total)[:, None]
+    z[np.arange(len(z)), y] -= each
     g = {"c": h2.T @ z, "bc": z.sum(0)}
     flat = lambda a: a.reshape(-1, a.shape[-1])
     dh2 = z @ m["c"].T
@@ -387,17 +390,18 @@ def gradients(m: dict[str, np.ndarray], tokens: np.ndarray, target: np.ndarray,
     do = (dh1 @ m["o"].T).reshape(t["o"].shape)
     da = do @ t["v"].transpose(0, 2, 1)
     dv = t["a"].transpose(0, 2, 1) @ do
-    ds = t["a"] * (da - (da * t["a"]).sum(2, keepdims=True))
-    g["slope"] = np.array([-(ds * np.maximum(_BACK, 0)).sum()], np.float32)
+    da -= (do * t["o"]).sum(2, keepdims=True)  # the sum of da * a
+    da *= t["a"]
+    ds = da
+    g["slope"] = np.array([-(ds.sum(0) * np.maximum(_BACK, 0)).sum()], np.float32)
     ds *= np.float32(WIDTH**-0.5)
     dq, dk = ds @ t["k"], ds.transpose(0, 2, 1) @ t["q"]
     g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(t["both"]).T @ flat(dk), flat(t["both"]).T @ flat(dv)
     dx2 = (flat(dk) @ m["k"].T + flat(dv) @ m["v"].T).reshape(x2.shape)
     dx2[:, BLOCK:] += dh1.reshape(x.shape) + (flat(dq) @ m["q"].T).reshape(x.shape)
     dx2[first, :BLOCK] = 0
-    de = np.zeros_like(m["e"])
-    np.add.at(de, tokens.ravel(), flat(dx2))
-    g["e"] = de
+    at, by = tokens.ravel(), np.ascontiguousarray(flat(dx2).T)
+    g["e"] = np.stack([np.bincount(at, d, len(m["e"])) for d in by], 1).astype(m["e"].dtype)
     return float(loss), g
 
 
@@ -429,29 +433,26 @@ def _blocks(tokens: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np
     return given.reshape(-1, BLOCK), target.reshape(-1, BLOCK), first, np.repeat(np.arange(len(n)), nb)
 
 
-def train_on(model: dict[str, np.ndarray], rows: Iterator[dict], vocab: Vocabulary, end: int, every: int, k: int, rate: float) -> int:
-    """Train in place on the windows of round ``k``; returns how many there were."""
+def windows_of_round(unit: Unit, first: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Blocks that round ``k`` trains on; each block belongs to one of the rounds."""
+    number = np.arange(len(first)) - np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return np.flatnonzero(((unit.crc[doc] * 2_654_435_761 + number * 40_503_001) >> 7) % ROUNDS == k)
+
+
+def train_on(model: dict[str, np.ndarray], rows: Iterator[dict], vocab: Vocabulary, end: int, k: int, rate: float) -> int:
+    """Train in place on the windows of round ``k``, part by part; returns how many there were."""
     opt, seen = Adam(model, rate), 0
     rng = np.random.default_rng(k)
     for row in rows:
-        windows, targets, opening = [], [], []
         for unit in Unit(row, train_only=True).parts():
             given, target, first, doc = _blocks(*unit.flat(vocab.token), end)
-            number = np.arange(len(first)) - np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            b = np.flatnonzero(((unit.crc[doc] * 2_654_435_761 + number * 40_503_001) >> 7) % every == k % every)
-            windows.append(np.concatenate([given[np.maximum(b - 1, 0)], given[b]], 1))
-            targets.append(target[b])
-            opening.append(first[b])
-        if not windows:
-            continue
-        window, target, first = np.concatenate(windows), np.concatenate(targets), np.concatenate(opening)
-        order = rng.permutation(len(first))
-        seen += len(order)
-        for at in range(0, len(order), BATCH):
-            b = order[at : at + BATCH]
-            t = target[b]
-            _, g = gradients(model, window[b], vocab.class_of_token[np.maximum(t, 0)], t >= 0, first[b])
-            opt.step(g)
+            order = rng.permutation(windows_of_round(unit, first, doc, k))
+            seen += len(order)
+            for at in range(0, len(order), BATCH):
+                b = order[at : at + BATCH]
+                t = target[b]
+                _, g = gradients(model, np.concatenate([given[np.maximum(b - 1, 0)], given[b]], 1), vocab.class_of_token[np.maximum(t, 0)], t >= 0, first[b])
+                opt.step(g)
     return seen
 
 
@@ -491,29 +492,26 @@ def fit(units: DataFrame, path: str) -> tuple[Vocabulary, dict[str, np.ndarray],
     end = int(vocab.token[wide - 1])
 
     def pairs(rows):
-        out, blocks = np.zeros(vocab.tokens**2, np.int64), 0
+        out = np.zeros(vocab.tokens**2, np.int64)
         for r in rows:
             for unit in Unit(r, train_only=True).parts():
-                t, n = unit.flat(vocab.token)
+                t, _ = unit.flat(vocab.token)
                 out += np.bincount(np.concatenate([[end], t[:-1]]) * vocab.tokens + t, minlength=len(out))
-                blocks += int((-(-n // BLOCK)).sum())
         at = np.flatnonzero(out)
-        return np.append(at, len(out)), np.append(out[at], blocks)
+        return at, out[at]
 
-    got = _dense(_long_sums(units, SEQUENCE, pairs), vocab.tokens**2 + 1)
-    vocab.classify(got[:-1].reshape(vocab.tokens, vocab.tokens))
+    vocab.classify(_dense(_long_sums(units, SEQUENCE, pairs), vocab.tokens**2).reshape(vocab.tokens, vocab.tokens))
     model = start_model(vocab, vocab.follow)
-    every = int(np.clip(got[-1] // WINDOWS, 1, EVERY))
     for k in range(ROUNDS):
         def trained(rows, model=model, k=k):
             own = {n: v.copy() for n, v in model.items()}
-            seen = train_on(own, rows, vocab, end, every, k, RATE / (k + 1))
+            seen = train_on(own, rows, vocab, end, k, RATE / (k + 1))
             flat = np.concatenate([flatten(own).astype(np.float64), [1.0]]) * seen
             return np.arange(len(flat)) if seen else [], flat if seen else []
 
         at, v = _long_sums(units, SEQUENCE, trained, "double")
-        if not len(at):
-            break
+        if not len(at):  # no window of this round, as in a corpus of very few
+            continue
         flat = np.zeros(len(flatten(model)) + 1)
         flat[at] = v
         model = unflatten(flat[:-1] / flat[-1], model)

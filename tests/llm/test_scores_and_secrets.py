@@ -80,6 +80,24 @@ def test_gradients_are_slopes():
         assert (lm_scoring.gradients(up, *batch)[0] - lm_scoring.gradients(down, *batch)[0]) / 2e-5 == pytest.approx(g[k][i], rel=1e-3, abs=1e-6)
 
 
+def test_every_window_of_every_training_text_is_trained_on(spark, monkeypatch):
+    """A corpus of more than 16,000 blocks, where only some windows used to be seen, and one of few."""
+    for docs, blocks in ((400, 45), (3, 2)):
+        text = [" ".join(f"w{(d * 7 + i) % 50}" for i in range(blocks * lm_scoring.BLOCK)) for d in range(docs)]
+        units = lm_scoring._units(spark.createDataFrame([*((d, d % 5 == 0, t) for d, t in enumerate(text)), (-1, False, ""), (-2, False, "one")], "id long, held boolean, text string").coalesce(1), RANKS)
+        row = units.first().asDict()
+        lib, seen, want = lm_scoring.coder(RANKS)[0], Counter(), Counter()
+        vocab = type("V", (), {"token": np.arange(len(lm_scoring.coder(RANKS)[1])), "class_of_token": np.arange(len(lm_scoring.coder(RANKS)[1]))})
+        end = len(vocab.token) - 1
+        for d, t in [*enumerate(text), (-1, ""), (-2, "one")]:
+            ids = [*(lib.encode_ordinary(" " + t) if t else []), end]
+            if d < 0 or d % 5:
+                want.update(tuple(ids[a : a + lm_scoring.BLOCK]) for a in range(0, len(ids), lm_scoring.BLOCK))
+        monkeypatch.setattr(lm_scoring, "gradients", lambda m, window, target, real, first: (0.0, seen.update(tuple(t[r].tolist()) for t, r in zip(target, real)) or {}))
+        n = sum(lm_scoring.train_on({}, iter([row]), vocab, end, k, 0.0) for k in range(lm_scoring.ROUNDS))
+        assert seen == want and n == sum(want.values()) and (n > 16_000 or docs == 3)
+
+
 def test_spelling_is_the_librarys():
     words = ["the", "naïve", "it's", "x" * 400, " a　", "12ab,", "漢字"]
     ids, n = lm_scoring.spell([w.encode() for w in words], RANKS)
