@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import posixpath
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -172,6 +173,7 @@ class PieceEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.pieces, self.words = TwoGenerations(PIECE_LIMIT), TwoGenerations(WORD_LIMIT)
 
     def _of_words(self, words: list[str]) -> list[bytes]:
@@ -183,14 +185,19 @@ class PieceEncoder:
         cores = []
         for p in pieces:
             core = p.rstrip(".,")
-            cores.append(core if core and core[-1].isalpha() else p)
+            cores.append(core if core and core[-1].lower()[-1].isalpha() else p)  # a dotted capital I ends in a mark once lowered
         known = self.words.fetch(dict.fromkeys([*cores, *[p[len(c) :] for p, c in zip(pieces, cores) if len(c) < len(p)]]), self._of_words)
         return [known[c] if len(c) == len(p) else known[c] + known[p[len(c) :]] for p, c in zip(pieces, cores)]
 
-    @staticmethod
-    def _folded(text: str) -> str:
-        """Lower case and plain spaces, which the vocabulary's normalizer makes anyway; a sigma is lowered by its place, so it is left."""
-        return (text if "\u03a3" in text else text.lower()).replace("\n", " ")
+    def _folded(self, text: str) -> str:
+        """Lower case and plain spaces, which the vocabulary's normalizer makes anyway.
+
+        Case is left where lowering it first would give other ids: a sigma is lowered by its place; letters and marks may
+        compose in one case only, and the library composes before it lowers; added tokens are matched in the raw text.
+        """
+        low = text.lower()
+        plain = text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+        return (low if plain and all(text.count(t) == low.count(t) for t in self.added) else text).replace("\n", " ")
 
     def encode_batch(self, texts: list[str], end: bytes) -> list[bytes]:
         split = [self._folded(t).split(" ") for t in texts]

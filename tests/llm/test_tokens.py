@@ -78,6 +78,17 @@ def test_sorted_tables(spark, odd, nothing, sf):
     assert sorted_tables.write_token_tables(nothing, WORDS) == [] and sorted_tables.read_token_tables(spark, []).count() == 0
 
 
+def test_pieces_of_case_variants_and_marks_are_the_librarys(spark):
+    texts = ["a <|ENDOFTEXT|> b", "<|endoftext|> x<|EndOfText|>y <|endoftext|>", "<|StartOfText|>", "J\u030c x", "go W\u030a\nend", "E\u0301T\u0308 \u00c9a", "\u03a3A\u03a3 \u0130x \u0130,", "Plain Text. <|startoftext|>, Done."]
+    lib, enc = Tokenizer.from_file(WORDS), sorted_tables.PieceEncoder(WORDS)
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # from the library, and from the cache
+        assert [np.frombuffer(b, f"<u{enc.width}").tolist() for b in enc.encode_batch(texts, b"")] == want
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = sorted_tables.read_token_tables(spark, sorted_tables.write_token_tables(docs, WORDS), with_ids=True).collect()
+    assert [r.ids for r in sorted(got, key=lambda r: r.start)] == want
+
+
 def test_queries_have_their_columns(spark, sf):
     assert queries.op6_token_counts(spark, sf).columns[:4] == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert queries.op9_bpe_automaton(spark, sf).columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
