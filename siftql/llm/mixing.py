@@ -16,7 +16,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftql.llm._shared import BLANKS, text_or_empty
+from siftql.llm._shared import BLANKS, materialize, text_or_empty
 
 BLOCK_WORDS = 32
 SHARD_WORDS = 16_384
@@ -25,6 +25,8 @@ MAX_SHARDS = 8_192
 #: More distinct sources than this are refused, since their totals go through the driver.
 MAX_SOURCES = 200_000
 MAX_REPEATS = 3
+#: Groups of documents by draw, over all sources, besides one for each source, that rounding to whole copies sums up.
+DRAWS = 65_536
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -125,16 +127,69 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return rows.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), *(["carried"] if carry else []))
 
 
-def mixed_documents(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
-    """The mix as rows of ``docs``: each document as often as it is taken, a fraction of a copy by a seeded draw.
+def round_long(rows: list[tuple[int, int]]) -> tuple[list[bool], int]:
+    """Whether each of (size, words beyond whole copies) gets a copy more, keeping the running remainder least; and that remainder."""
+    out, left = [], 0
+    for size, extra in rows:
+        left += extra
+        out.append(2 * left >= size)
+        left -= size * out[-1]
+    return out, left
 
-    The expected words of a source are what :func:`mix` takes; columns are those of ``docs``.  Documents without a word are
-    never taken.
+
+def mixed_documents(docs: DataFrame, *, source_col: str = "source", seed: int = 17, **options) -> DataFrame:
+    """The mix as rows of ``docs``: each document in as many whole copies as it is taken, and one more for some of the rest.
+
+    The words beyond whole copies are made up for by source.  Documents longer than a shard, at most ``MAX_SHARDS``, are
+    rounded from the longest with a running remainder; what that leaves is added to what the others have to give, which
+    get a copy more in the order of a seeded draw over their fraction, until the words are reached.  So a source's words
+    are off from what :func:`mix` takes by at most half of one document that is no longer than a shard, unless all or none
+    of these get a copy more; then by at most half the source's longest document more.  Columns are those of ``docs``;
+    documents without a word are never taken.
     """
     names = docs.columns
-    got = mix(docs, seed=seed, carry=names, **options)
-    ratio = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
-    u = F.pmod(F.xxhash64(F.col("carried")[names[0]], F.col("carried")["text"], F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor(ratio + u).cast("int")
-    got = got.withColumn("_copies", F.when(F.col("size") > 0, copies).otherwise(0)).where("_copies > 0")
-    return got.select("carried", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col("carried")[c].alias(c) for c in names])
+    got = mix(docs, source_col=source_col, seed=seed, carry=names, **options).where("size > 0")
+    u = (F.pmod(F.xxhash64(F.col("carried")[names[0]], F.col("carried")["text"], F.lit(seed + 1)), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+    got = got.select(
+        "carried", "size", F.expr("taken div size").alias("_whole"), F.pmod("taken", "size").alias("_extra"), u.alias("_u"),
+        F.coalesce(F.concat(F.lit("s"), F.col("carried")[source_col].cast("string")), F.lit("")).alias("_s"),
+    )
+    draw = F.col("_u") * F.col("size") / F.greatest("_extra", F.lit(1))
+    got = materialize(got.withColumn("_draw", draw), "mix-taken")
+    sums = got.agg(F.sum("size").alias("n"), F.count_distinct("_s").alias("s")).first()
+    most, groups = max(SHARD_WORDS, -(-int(sums.n or 0) // MAX_SHARDS)), 1 + DRAWS // max(1, sums.s)
+    some = got.where("_extra > 0")
+    order = Window.partitionBy("_s", "size", "_draw").orderBy("_extra")
+    long = some.where(F.col("size") > most).withColumn("_k", F.row_number().over(order))
+    group = F.floor(groups * F.col("_draw") / (1 + F.col("_draw"))).cast("int")
+    short = some.where(F.col("size") <= most).withColumn("_group", group)
+    by_source: dict[str, list] = {}
+    for r in long.select("_s", "size", "_draw", "_k", "_extra").collect():
+        by_source.setdefault(r._s, []).append(r)
+    more, left = [], {}
+    for key, rows in by_source.items():
+        rows.sort(key=lambda r: (-r["size"], r._draw, r._k))
+        chosen, left[key] = round_long([(r["size"], r._extra) for r in rows])
+        more += [(key, r["size"], r._draw, r._k) for r, c in zip(rows, chosen) if c]
+    of_group: dict[str, list] = {}
+    for r in short.groupBy("_s", "_group").agg(F.sum("size").alias("n"), F.sum("_extra").alias("e")).collect():
+        of_group.setdefault(r._s, []).append((r._group, r.n, r.e))
+    cuts = []  # of each source: the group in which the words are reached, and how many of it are needed
+    for key, rows in of_group.items():
+        need = left.get(key, 0) + sum(e for _, _, e in rows)
+        for g, n, _ in sorted(rows):
+            if need <= n:
+                break
+            need -= n
+        else:
+            need += n  # more than all of them give
+        cuts.append((key, g, need))
+    spark = docs.sparkSession
+    short = short.join(F.broadcast(spark.createDataFrame(cuts, "_s string, _cut int, _need long")), "_s")
+    run = Window.partitionBy("_s").orderBy("_draw", "size", "_extra").rowsBetween(Window.unboundedPreceding, 0)
+    at_cut = short.where("_group = _cut").withColumn("_upto", F.sum("size").over(run)).where("2 * (_upto - size) + size <= 2 * _need")
+    long = long.join(F.broadcast(spark.createDataFrame(more, "_s string, size long, _draw double, _k int")), ["_s", "size", "_draw", "_k"])
+    copies = got.where("_whole > 0").select("carried", F.explode(F.sequence(F.lit(1), F.col("_whole").cast("int")))).select("carried")
+    for part in (short.where("_group < _cut"), at_cut, long):
+        copies = copies.union(part.select("carried"))
+    return copies.select(*[F.col("carried")[c].alias(c) for c in names])

@@ -86,6 +86,26 @@ def test_mix_meets_targets_and_reruns_agree(spark, odd, nothing, sf):
     assert again.columns == odd.columns and max(Counter(r.doc_id for r in again.collect() if r.doc_id == 8).values(), default=0) <= 3
 
 
+def test_whole_copies_meet_what_the_mix_takes_of_each_source(spark, nothing):
+    rows = [(k, " ".join([f"w{k}"] * n), s) for k, (s, n) in enumerate([("a", 200_000), *[("a", 300)] * 500, *[("b", 170)] * 2_000, *[(None, 90)] * 700])]
+    rows += [rows[0], rows[-1]]  # repeated rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((1, 2, 3), (3, 1, 1), (1, 1, 5)):
+        want, got = Counter(), Counter()
+        source = {r[0]: r[2] for r in rows}
+        for r in mixing.mix(docs, weights=weights).collect():
+            want[source[r.doc_id]] += r.taken
+        a = mixing.mixed_documents(docs, weights=weights).collect()
+        assert sorted(a, key=str) == sorted(mixing.mixed_documents(docs.repartition(7), weights=weights).collect(), key=str)
+        for r in a:
+            got[r.source] += len(r.text.split(" "))
+        for s in (None, "b"):
+            assert abs(got[s] - want[s]) <= 170 / 2
+        assert abs(got["a"] - want["a"]) <= 150 + 100_000 and (weights != (1, 2, 3) or abs(got["a"] - want["a"]) <= 150)
+    assert mixing.mixed_documents(nothing).count() == 0
+    assert mixing.round_long([(10, 4), (10, 4), (6, 1)]) == ([False, True, False], -1)
+
+
 def test_classifier_learns_and_handles_odd_rows(spark, odd, nothing):
     sf = "/root/testdata/sf0.01"
     got = queries.op5_quality_classifier(spark, sf).toPandas().merge(read_table(spark, sf, "labels").toPandas(), on="doc_id")
