@@ -30,9 +30,9 @@ _HEX_BYTES = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _ASSIGN_MARKS = ("passw", "secret", "token", "api")
 
 CONTEXTS = (
-    re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)["']?\x20*(?::|=|=>)\x20*["']?([^\s"'<>,;]{6,})""", re.I | re.A),
+    re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)["']?\x20*(?::|=|=>)\x20*(?:"((?:[^"\\\n]|\\.){6,})"|'((?:[^'\\\n]|\\.){6,})'|["']?([^\s"'<>,;]{6,}))""", re.I | re.A),
     re.compile(r"""\bbearer\x20+([A-Za-z0-9+/_.=~-]{6,})""", re.I | re.A),
-    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@"'<>]{1,64}:([^\s/@"'<>]{6,})@""", re.A),
+    re.compile(r"""(?<=[A-Za-z0-9+.-])://[^\s:/@"'<>]*:([^\s/@"'<>]{6,})@""", re.A),
 )
 _CONTEXT_MARKS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "://")
 
@@ -176,8 +176,9 @@ def scan_text(text: str, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int,
     if any(m in low for m in _CONTEXT_MARKS):
         for context in CONTEXTS:
             for m in context.finditer(text):
-                if guess_cost(m[1]) >= min_log10:
-                    more.add((m.start(1), 3, m.end(1)))
+                g = m.lastindex  # a quoted value runs to its closing quote
+                if guess_cost(m[g]) >= min_log10:
+                    more.add((m.start(g), 3, m.end(g)))
     return base, sorted({*base, *more}) if more else base
 
 

@@ -161,3 +161,16 @@ def test_guessed_values_and_redaction(spark, odd):
     assert out.columns == odd.columns and out.count() == 13
     r = out.where("doc_id = 10").first()
     assert "AKIA" not in r.text and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('pwd = "xK7#,Qz!vR2mT9$w"', "xK7#,Qz!vR2mT9$w"), ("pwd: 'xK7;<Q\"z!vR2mT9'", "xK7;<Q\"z!vR2mT9"), ('pwd => "unclosedxK7#Qz!vR2', "unclosedxK7#Qz!vR2"),
+        ("redis://:S3cr9xKqTz71@host", "S3cr9xKqTz71"), (f"ftp://{'u' * 70}:S3cr9xKqTz71@host", "S3cr9xKqTz71"), ("HTTPS://bob:S3cr9xKqTz71@h", "S3cr9xKqTz71"), (f"{'x' * 30}://bob:S3cr9xKqTz71@h", "S3cr9xKqTz71"),
+    ],
+)
+def test_whole_values_in_contexts(text, value):
+    spans = secret_scan.scan_text(text)[1]
+    assert [text[a:b] for a, k, b in spans if k == 3] == [value]
+    assert value not in secret_scan.redact(text, spans)
