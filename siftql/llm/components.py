@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     stars around their smallest node; by a fresh hash afterwards, so that a constant share of the nodes is expected to
     go), rewrites the links between what is left and drops loops.  Rounds are written to the shared folder; the driver
     only learns whether links remain.  Aggregation is partial before each shuffle, so a hub does not meet its links in
-    one task.
+    one task; joins read tables on both sides, so Spark splits the rows of a label that most nodes have.
     """
     edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")), "labels")
@@ -34,9 +34,10 @@ def components(links: DataFrame) -> DataFrame:
         edges, labels = new_edges, new_labels
         k += 1
     release(edges)
-    least = labels.groupBy("label").agg(F.min("node").alias("component"))
+    least = materialize(labels.groupBy("label").agg(F.min("node").alias("component")), "least")
     out = materialize(labels.join(least, "label").select("node", "component"), "components")
     release(labels)
+    release(least)
     return out
 
 

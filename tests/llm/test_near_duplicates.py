@@ -106,6 +106,8 @@ def test_vectors_match_brute_force(spark, sf):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_vectors(rows + odd) and len(got) == len(rows) + len(odd)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert multi_index.near_vectors(own.limit(0)).count() == 0
+    exact = multi_index.near_vectors(all_, target_recall=1.0).collect()
+    assert sorted(exact, key=str) == sorted(got, key=str)
 
 
 def test_multi_sequence_is_in_order_and_complete():
