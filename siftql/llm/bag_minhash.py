@@ -30,12 +30,12 @@ THRESHOLD = 0.8
 #: 32 bands of 4: a pair of similarity 0.8 shares no band with probability 5e-8.
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share are not verified: 0.8 would be off by 5.6 standard deviations.
+#: Pairs whose signatures agree in less than this share are not verified; of pairs of similarity 0.8, 2 in 10 million agree so little.
 LEAST_AGREEMENT = 0.6
 #: Buckets of up to so many documents send out their pairs, at most this number for each document; larger ones are compared inside.
 SMALL_BUCKET = 8
-#: Documents of each side that meet in one group.
-CHUNK = 512
+#: Documents of each side that meet in one group; one of ``n`` shingles counts ``1 + n / CHUNK_SHINGLES``.
+CHUNK, CHUNK_SHINGLES = 1024, 1024
 
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -120,6 +120,10 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
+def _print(bag: bytes) -> bytes:
+    return hashlib.blake2b(bag, digest_size=16).digest()
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """``id``, ``print`` (16 bytes, of the multiset), ``n`` (shingles), ``keys`` (band hashes), ``low`` (a byte of each component) from ``id``, ``text``."""
 
@@ -133,7 +137,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 acc = salt.copy()
                 for k in range(ROWS):
                     acc = _mix(acc * _GOLD + sig[k::ROWS])
-                prints.append(hashlib.blake2b(bag.tobytes(), digest_size=16).digest())
+                prints.append(_print(bag.tobytes()))
                 n.append(len(bag))
                 keys.append(acc.view(np.int64))
                 low.append((sig & _U(0xFF)).astype(np.uint8).tobytes())
@@ -175,9 +179,10 @@ def _bags(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "bag"])
+                bags = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_print(b) for b in bags], pa.binary()), pa.array(bags, pa.binary())], ["id", "print", "bag"])
 
-    return docs.mapInArrow(run, "id long, bag binary")
+    return docs.mapInArrow(run, "id long, print binary, bag binary")
 
 
 def _numbered(bag: np.ndarray) -> np.ndarray:
@@ -191,17 +196,26 @@ def _numbered(bag: np.ndarray) -> np.ndarray:
 
 
 def _links_within(table: pa.Table) -> pa.Table:
-    """Links between the two chunks of a bucket that join components; every pair is met in the first band that it shares."""
+    """Links that join components, between the askers of a chunk of a bucket and a chunk of all its documents.
+
+    Every pair is met in the first band that it shares.
+    """
     own = {c: table.column(c) for c in table.column_names}
     ids, n, comp = (own[c].to_numpy() for c in ("id", "n", "comp"))
-    band, i, j = (own[c][0].as_py() for c in ("band", "i", "j"))
-    r = own["r"].to_numpy()
-    left, right = np.flatnonzero(r == i), np.flatnonzero(r == j)
+    band = own["band"][0].as_py()
+    asks, rest = (own[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "rest"))
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
     low = np.frombuffer(b"".join(own["low"].to_pylist()), np.uint8).reshape(-1, M)
     keys = own["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    bags = [_numbered(np.frombuffer(x, np.uint64)) for x in own["bag"].to_pylist()]
+    raw = own["bag"].to_pylist()
+    bags: dict[int, np.ndarray] = {}
     top: dict[int, int] = {}
 
+    def bag(k: int) -> np.ndarray:
+        if k not in bags:
+            bags[k] = _numbered(np.frombuffer(raw[k], np.uint64))
+        return bags[k]
+
     def find(x: int) -> int:
         while (y := top.get(x, x)) != x:
             top[x] = top.get(y, y)
@@ -211,20 +225,23 @@ def _links_within(table: pa.Table) -> pa.Table:
     a, b = [], []
     for at in range(0, len(left), 32):
         some = left[at : at + 32]
-        hit = (low[some][:, None] == low[right][None]).mean(2) >= LEAST_AGREEMENT
-        hit &= (keys[some][:, None] == keys[right][None]).argmax(2) == band
         x, y = n[some][:, None], n[right][None]
-        hit &= (np.minimum(x, y) >= THRESHOLD * np.maximum(x, y)) & (comp[some][:, None] != comp[right][None])
-        if i == j:
-            hit &= some[:, None] < right[None]
+        hit = (np.minimum(x, y) >= THRESHOLD * np.maximum(x, y)) & (comp[some][:, None] != comp[right][None])
+        hit &= ~rest[right][None] | (ids[some][:, None] < ids[right][None])  # two askers meet once
+        i, j = np.nonzero(hit)
+        close = (low[some[i]] == low[right[j]]).mean(1) >= LEAST_AGREEMENT
+        i, j = i[close], j[close]
+        here = (keys[some[i]] == keys[right[j]]).argmax(1) == band
+        i, j = i[here], right[j[here]]
+        ends = np.searchsorted(i, np.arange(len(some) + 1))
         for k, p in enumerate(some.tolist()):
             # What an earlier link has joined needs no check; members of one component are checked until one links.
-            others = [q for q in right[hit[k]].tolist() if find(comp[q]) != find(comp[p])]
+            others = [q for q in j[ends[k] : ends[k + 1]].tolist() if find(comp[q]) != find(comp[p])]
             if not others:
                 continue
-            sizes = np.array([len(bags[q]) for q in others])
-            cat = np.concatenate([bags[q] for q in others])
-            mine = bags[p]
+            sizes = np.array([n[q] for q in others])
+            cat = np.concatenate([bag(q) for q in others])
+            mine = bag(p)
             both = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, cat), len(mine) - 1)] == cat, np.cumsum(sizes) - sizes, dtype=np.int64)
             for q in np.array(others)[both / (len(mine) + sizes - both) >= THRESHOLD].tolist():
                 c, d = find(comp[p]), find(comp[q])
@@ -235,6 +252,29 @@ def _links_within(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _links_of_large(now: DataFrame, reps: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links that are left in large open buckets: ``key``, ``band``, ``id``, ``n``, ``comp`` of their documents.
+
+    Most documents of such a bucket are in one component by now, and its inner pairs cannot change it.  Only the others
+    ask, and each of them meets every document of the bucket; so a document is dealt once for each chunk of askers.
+    """
+    parts = materialize(now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(1 + F.col("n") / CHUNK_SHINGLES).alias("w")), "parts")
+    chunks = lambda w: F.greatest(F.ceil(w / CHUNK), F.lit(1)).cast("int")
+    total = parts.groupBy("key").agg(F.max(F.struct("c", "comp", "w")).alias("m"), F.sum("w").alias("w"))
+    total = materialize(total.select("key", F.col("m.comp").alias("main"), chunks(F.col("w") - F.col("m.w")).alias("askers"), chunks(F.col("w")).alias("all")), "chunks")
+    rows = now.join(total, "key").withColumn("rest", F.col("comp") != F.col("main"))
+    h = F.xxhash64("id")
+    i, j = F.pmod(h, "askers").cast("int"), F.pmod(h, "all").cast("int")
+    to_all = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(False).alias("asks")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(True).alias("asks")))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("rest"), F.concat(to_all, asking)).otherwise(to_all))).select("key", "band", "id", "n", "comp", "rest", "to.*")
+    rows = rows.join(reps.select("id", "low", "keys"), "id").join(bags, "id")
+    out = materialize(rows.groupBy("key", "i", "j").applyInArrow(_links_within, "a long, b long"), "links")
+    release(parts)
+    release(total)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of near-duplicate documents.
 
@@ -243,52 +283,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one).
 
     Documents with one to four words are one shingle, so they link to equal ones only; those without words, null texts
-    included, link with nothing.  Identifiers are taken as unique; rows with a null one stay alone, with a null class.
-    Extra columns are not read.  An empty table gives no rows.
+    included, link with nothing.  Identifiers are integers, or text that holds one, and are taken as unique: of different
+    texts under one identifier, one is compared for all.  Rows with a null one stay alone, with a null class.  Whole texts
+    are read, however long.  Extra columns are not read.  An empty table gives no rows.
 
     Documents with equal multisets are one class from the start.  Within a band, representatives first meet one pivot (a
-    star, not all pairs), which gathers large groups of near copies.  Buckets that still hold several components are then
-    compared whole: small ones by their pairs, larger ones inside groups of at most two chunks, which give out links that
-    join components rather than pairs.  Links inside a component cannot change it, so no class loses a link for which a
-    band was found.
+    star, not all pairs), which gathers large groups of near copies.  Of buckets that still hold several components, small
+    ones are compared by their pairs; in larger ones all documents outside the largest component meet the whole bucket,
+    inside groups that give out links that join components rather than pairs.  Links inside a component cannot change it,
+    so no class loses a link for which a band was found.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     some = rows.where("id is not null")
     sketches = materialize(sketch(some), "sketches")
     full = sketches.where("n > 0")
-    copies = full.groupBy("print").agg(F.min("id").alias("rep"))
-    # Representatives with the values of their own row.
-    reps = materialize(full.join(copies.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "keys", "low"), "reps")
+    copies = materialize(full.groupBy("print").agg(F.min("id").alias("rep")), "copies")
+    # Representatives with the values of their own row; rows that share an identifier share the node, and one print speaks for it.
+    reps = full.join(copies.groupBy(F.col("rep").alias("id")).agg(F.min("print").alias("print")), ["id", "print"], "left_semi").select("id", "print", "n", "keys", "low")
+    reps = materialize(reps.dropDuplicates(["id"]), "reps")
     member = materialize(sketches.select("id", "print", "n").join(copies, "print", "left").select("id", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "members")
-    release(sketches)
     banded = reps.select("id", "n", F.posexplode("keys").alias("band", "key")).select("id", "n", "band", F.xxhash64("band", "key").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    banded = materialize(banded.join(shared, "key", "left_semi"), "bands")
-    touched = banded.select("id").distinct()
-    bags = materialize(_bags(some.join(touched, "id", "left_semi")), "bags")
+    shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("p")).where("c > 1").select("key", F.col("p.id").alias("p"), F.col("p.n").alias("pn")), "shared")
+    banded = materialize(banded.join(shared, "key"), "bands")
+    bags = _bags(some.join(banded.select("id").distinct(), "id", "left_semi"))
+    bags = materialize(bags.join(reps.select("id", "print"), ["id", "print"], "left_semi").drop("print").dropDuplicates(["id"]), "bags")
     low = reps.select("id", "low")
 
     def check(pairs: DataFrame) -> DataFrame:
         with_low = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("low_b")), "b")
-        return materialize(_verify(materialize(_agree(with_low), "agreeing"), bags), "links")
+        agreeing = materialize(_agree(with_low), "agreeing")
+        out = materialize(_verify(agreeing, bags), "links")
+        release(agreeing)
+        return out
 
     of = lambda x, y: F.least(x, y) >= THRESHOLD * F.greatest(x, y)
-    pivots = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("s")).select("key", F.col("s.id").alias("p"), F.col("s.n").alias("pn"))
-    links = check(banded.join(pivots, "key").where((F.col("id") != F.col("p")) & of("n", "pn")).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct())
-    labels = components(links)
-    now = banded.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    stars = check(banded.where((F.col("id") != F.col("p")) & of("n", "pn")).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct())
+    labels = components(stars)
+    now = materialize(banded.drop("p", "pn").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "now")
     open_ = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("key", "size")
-    now = materialize(now.join(open_, "key"), "open")
-    few = now.where(F.col("size") <= SMALL_BUCKET)
+    open_ = materialize(open_, "open")
+    few = now.join(open_.where(F.col("size") <= SMALL_BUCKET).select("key"), "key")
     other = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
     pairs = few.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & of("n", "n2")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    chunks = F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")
-    many = now.where(F.col("size") > SMALL_BUCKET).withColumn("r", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-    many = many.withColumn("o", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("i", F.least("r", "o")).withColumn("j", F.greatest("r", "o")).drop("o", "size")
-    many = many.join(reps.select("id", "low", "keys"), "id").join(bags, "id")
-    inside = many.groupBy("key", "i", "j").applyInArrow(_links_within, "a long, b long")
-    links = links.union(check(pairs)).union(materialize(inside, "links"))
-    labels = components(links)
+    many = materialize(now.join(open_.where(F.col("size") > SMALL_BUCKET).select("key"), "key"), "many")
+    small, large = check(pairs), _links_of_large(many, reps, bags)
+    release(labels)
+    labels = components(stars.union(small).union(large))
+    for old in (sketches, copies, reps, shared, banded, bags, stars, now, open_, many, small, large):
+        release(old)
     out = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("id").alias("doc_id"), F.col("rep").alias("copy_id"), F.coalesce("component", "rep").alias("class_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
     null = F.lit(None).cast("long")

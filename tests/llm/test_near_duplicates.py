@@ -76,7 +76,24 @@ def test_near_duplicates_match_brute_force(spark, odd, nothing, sf):
     assert len(bag_minhash.keep_one(docs).columns) == len(docs.columns)
     got = Counter((r.doc_id, r.class_id) for r in bag_minhash.near_duplicates(odd).collect())
     assert got[5, 5] == 2 and got[6, 5] == got[7, 5] == 1 and got[None, None] == 1 and sum(got.values()) == 13
-    assert bag_minhash.near_duplicates(nothing).count() == 0
+    assert bag_minhash.near_duplicates(nothing).count() == 0 and bag_minhash.keep_one(nothing).count() == 0
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Families that share a long passage: buckets of many documents in several components, and repeated identifiers."""
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for family in range(6):
+        base = common + [f"f{family}w{i}" for i in range(50)]
+        for k in range(15):
+            words = list(base)
+            for j in range(k % 5):
+                words[60 + (7 * k + 11 * j) % 50] = f"new{family}-{k}-{j}"
+            rows.append((1_000 * family + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(docs).collect()} == brute_near(rows)
+    again = bag_minhash.near_duplicates(docs.union(spark.createDataFrame([(0, "one two three four five six seven"), (0, rows[0][1])], docs.schema)).repartition(5)).collect()
+    assert len(again) == len(rows) + 2 and {r.doc_id: r.class_id for r in again}.keys() == {i for i, _ in rows}
 
 
 def brute_vectors(rows):
