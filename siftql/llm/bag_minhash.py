@@ -162,7 +162,7 @@ def _agree(pairs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of at least the threshold's overlap; ``bags``: ``id``, ``bag``."""
+    """The pairs (``a``, ``b``) of at least the threshold's overlap; ``bags`` has ``id``, ``bag``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +252,7 @@ def _links_within(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _links_of_large(now: DataFrame, reps: DataFrame, bags: DataFrame) -> DataFrame:
+def _links_of_large(now: DataFrame, bags: DataFrame) -> DataFrame:
     """Links that are left in large open buckets: ``key``, ``band``, ``id``, ``n``, ``comp`` of their documents.
 
     Most documents of such a bucket are in one component by now, and its inner pairs cannot change it.  Only the others
@@ -268,7 +268,7 @@ def _links_of_large(now: DataFrame, reps: DataFrame, bags: DataFrame) -> DataFra
     to_all = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(False).alias("asks")))
     asking = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(True).alias("asks")))
     rows = rows.withColumn("to", F.explode(F.when(F.col("rest"), F.concat(to_all, asking)).otherwise(to_all))).select("key", "band", "id", "n", "comp", "rest", "to.*")
-    rows = rows.join(reps.select("id", "low", "keys"), "id").join(bags, "id")
+    rows = rows.join(bags, "id")
     out = materialize(rows.groupBy("key", "i", "j").applyInArrow(_links_within, "a long, b long"), "links")
     release(parts)
     release(total)
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("p")).where("c > 1").select("key", F.col("p.id").alias("p"), F.col("p.n").alias("pn")), "shared")
     banded = materialize(banded.join(shared, "key"), "bands")
     bags = _bags(some.join(banded.select("id").distinct(), "id", "left_semi"))
-    bags = materialize(bags.join(reps.select("id", "print"), ["id", "print"], "left_semi").drop("print").dropDuplicates(["id"]), "bags")
+    bags = materialize(bags.dropDuplicates(["id", "print"]).join(reps.select("id", "print", "low", "keys"), ["id", "print"]).drop("print"), "bags")
     low = reps.select("id", "low")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
     pairs = few.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & of("n", "n2")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     many = materialize(now.join(open_.where(F.col("size") > SMALL_BUCKET).select("key"), "key"), "many")
-    small, large = check(pairs), _links_of_large(many, reps, bags)
+    small, large = check(pairs), _links_of_large(many, bags)
     release(labels)
     labels = components(stars.union(small).union(large))
     for old in (sketches, copies, reps, shared, banded, bags, stars, now, open_, many, small, large):
