@@ -290,13 +290,13 @@ class Vocabulary:
         model = {"e1": e, "e2": np.zeros((self.tokens, WIDTH)), "q": small(WIDTH, WIDTH), "k": small(WIDTH, WIDTH), "v": small(WIDTH, WIDTH), "o": small(WIDTH, WIDTH, to=0.02), "w1": small(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN), "w2": small(HIDDEN, WIDTH, to=0.02), "c": mean, "bc": np.log(share), "c2": c - mean[:, self.group], "b2": np.log(p / share[self.group]), "slope": np.array([0.05])}
         return {k: v.astype(np.float32) for k, v in model.items()}
 
-    def count_inside(self, pairs: np.ndarray, firsts: tuple[np.ndarray, np.ndarray, np.ndarray], discount: float) -> None:
+    def count_inside(self, pairs: np.ndarray, firsts: tuple[np.ndarray, np.ndarray], discount: float) -> None:
         """``pairs``: counts of (place of a subword, place of the next one in the word, or one more for the word's end);
         ``firsts``: for each id how many training tokens and how many different words begin with it.
         """
         share = pairs.sum(0) + 1.0
         share /= share.sum()
-        self.after = np.log((pairs + KAPPA * share) / (pairs.sum(1, keepdims=True) + KAPPA))
+        self.after = np.log((pairs + KAPPA * share) / (pairs.sum(1, keepdims=True) + KAPPA)).astype(np.float32)
         self.n_first, self.words_first, self.discount = *firsts, discount
 
     def rest(self, unit: Unit, c: np.ndarray) -> np.ndarray:
@@ -559,7 +559,6 @@ def fit(units: DataFrame, counts: DataFrame, path: str) -> tuple[Vocabulary, dic
         return at, out[at].astype(np.int64)
 
     pairs = _dense(_long_sums(units, ["train", "sub_n", "subs"], inside), vocab.subs * (vocab.subs + 1)).reshape(vocab.subs, -1)
-    vocab.count_inside(pairs, (n_first, words_first), discount)
     end = int(vocab.token[wide - 1])
 
     def neighbours(rows):
@@ -586,6 +585,7 @@ def fit(units: DataFrame, counts: DataFrame, path: str) -> tuple[Vocabulary, dic
         flat = np.zeros(len(flatten(model)) + 1)
         flat[at] = v
         model = unflatten(flat[:-1] / flat[-1], model)
+    vocab.count_inside(pairs, (n_first, words_first), discount)  # the largest table, which the rounds need not carry
     return vocab, model, end
 
 

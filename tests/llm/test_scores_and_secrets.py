@@ -52,7 +52,7 @@ def test_model_is_a_distribution_and_batches_agree(spark, sf):
     units, counts, vocab, model, end = fitted(spark, read_table(spark, sf, "documents"))
     within = np.bincount(vocab.token, np.exp(vocab.within), vocab.tokens)
     assert within == pytest.approx(np.ones(vocab.tokens), abs=1e-6) and vocab.cuts[-1] == vocab.tokens
-    assert np.exp(vocab.after).sum(1) == pytest.approx(np.ones(vocab.subs))
+    assert np.exp(vocab.after.astype(float)).sum(1) == pytest.approx(np.ones(vocab.subs), abs=1e-4)
     assert np.bincount(vocab.sub, np.exp(vocab.sub_share), vocab.subs) == pytest.approx(np.ones(vocab.subs), abs=1e-6)
     row = units.first().asDict()
     unit = lm_scoring.Unit(row)
