@@ -44,9 +44,11 @@ WIDTH, HIDDEN = 16, 32
 #: First subwords with embeddings of their own, and subwords with pair counts of their own; the rest share two places each, for ids with and without a space in front.
 TOP = 2_048
 #: Groups of first subwords are halved down to this size.
-GROUP = 32
+GROUP = 64
 #: Blocks of a training step and of a scored batch.
-ROUNDS, BATCH, RATE, SCORED = 3, 192, 4e-3, 1_024
+ROUNDS, BATCH, RATE, SCORED = 3, 192, 4e-3, 512
+#: Tasks of the scoring join below which units are spread thin.
+FEW_TASKS = 200
 #: Weight of a subword's share inside words against its counts after one neighbour.
 KAPPA = 4.0
 END_HASH = 2**64 - 1
@@ -614,8 +616,8 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, n_words = int(totals.n), int(totals.v)
     vocab, model, end = fit(units, counts, path)
-    # As many tasks as units until those are many, so that a task's share of the texts stays the same at any size.
-    tasks = max(1, n_units // 8, min(n_units, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # More tasks than units until those are many, then some units each: what a task holds stays the same at any size.
+    tasks = max(1, n_units // 4, min(4 * n_units, FEW_TASKS))
     known = words.select("unit", "at", "hash").join(counts.select("hash", "c"), "hash").repartition(tasks, "unit").groupBy("unit").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"))
     joined = units.select("unit", *SEQUENCE).repartition(tasks, "unit").join(known, "unit", "left")
     id_type = _arrow_type(rows, "id")
