@@ -6,8 +6,9 @@ of a word gives the exact count at all its prefixes in one pass.  A text's table
 differences between neighbouring code-point prefixes, so that a running sum answers every truncation or budget
 question without encoding anything again.
 
-A prefix may be split differently from the whole text at its very end: blanks before a word (``"a  b"``) and cut
-contractions (``"'r"`` of ``"'re"``).  For those few prefixes the end is split again from the word before it.
+A prefix may be split differently from the whole text at its very end.  Blanks before a word (``"a  b"``): all prefixes
+that end in a run of blanks read off the table of the run as one word, so a long run costs no more than its length.  Cut
+contractions (``"'r"`` of ``"'re"``): these few ends are split again from the word before.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ from siftql.llm.bpe_automaton import WORD_LIMIT, BatchWalker, PieceCache, coder
 PIECE_LIMIT = 300_000
 
 
+def _blank(c: str) -> bool:
+    """Whether the splitting pattern takes a character for a blank."""
+    return c.isspace() and not "\x1c" <= c <= "\x1f"
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         self.auto, self.split = coder(path)
@@ -62,13 +68,22 @@ class PrefixCounter:
         """The counts of a piece as differences (two bytes each, little-endian), and their sum."""
         counts: list[int] = []
         total, begin, before, back = 0, 0, "", 0
+        run, run_base = "", 0  # blanks just before, and the tokens before them
         for w, own in zip(words, tables):
-            odd = (w[0] == "'" and len(w) > 2) or w[0].isspace() and (len(w) == 1 or w[1].isspace() or before[-1:].isspace())
-            if odd:
+            if run and _blank(w[0]):  # prefixes that end in these blanks have the whole run as one word
+                lead = len(w) if all(map(_blank, w)) else 1
+                longer = run + w[:lead]
+                counts += [run_base + c for c in self.cache.words.fetch((longer,), self._of_words)[longer][len(run) :]]
+                counts += [total + c for c in own[lead:]]
+            elif w[0] == "'" and len(w) > 2:
                 start, base = (begin - len(before), total - back) if before else (begin, total)
                 counts += [base + self._whole(text[start : begin + k]) for k in range(1, len(w) + 1)]
             else:
                 counts += [total + c for c in own] if total else own
+            if (len(w) == 1 or run or not w[1].isalnum()) and all(map(_blank, w)):
+                run, run_base = (run + w, run_base) if run else (w, total)
+            else:
+                run = ""
             begin += len(w)
             back = own[-1]  # of the word alone, as it counts in longer prefixes
             total += back
@@ -120,7 +135,8 @@ def prefix_token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text
     (binary; see :func:`counts_of`), and for each budget ``b`` a column ``chars_within_<b>``: code points of the longest
     prefix of at most ``b`` tokens, read off the table.
 
-    Null texts count as empty (0 bytes, 0 tokens).  Special strings inside a text are one token each, as the library
+    An empty table gives no rows; a text of any length is read whole, in time linear in its length.  Null texts count as
+    empty (0 bytes, 0 tokens).  Special strings inside a text are one token each, as the library
     has it; inside such a string prefixes count as ordinary text.  Rows are kept one to one; other columns are not read.
     """
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftql.llm import bag_minhash, bpe_automaton, lm_scoring, mixing, multi_index, prefix_counts, quality_classifier, quality_rules, secret_scan, sorted_tables
-from siftql.llm._shared import read_table
+from siftql.llm._shared import materialize, read_table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = prefix_counts.prefix_token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budgets=(512,), keep_table=False)
+    """The prefix tables are stored, and counts and budgets are read from them."""
+    got = materialize(prefix_counts.prefix_token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budgets=(512,)), "prefix-tables")
     return got.select("doc_id", "n_bytes", "n_tokens", prefix_counts.over_budget(F.col("n_tokens"), 512).alias("over_limit"), "chars_within_512")
 
 

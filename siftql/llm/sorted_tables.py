@@ -38,6 +38,8 @@ INDEX = struct.Struct("<9sBHQIIQ")  # first key, -, entries, offset, length, crc
 BITS_PER_KEY, PROBES = 10, 7
 PIECE_LIMIT = 300_000
 WORD_LIMIT = 300_000
+#: Words that the library encodes as one text.
+TOGETHER = 2_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -174,11 +176,32 @@ class PieceEncoder:
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
+        closes = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
+        closes[[i for t, i in self.lib.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
+        #: Ids that close a word; none where the vocabulary marks no ends.
+        self.closes = closes if suffix else closes[:0]
         self.pieces, self.words = TwoGenerations(PIECE_LIMIT), TwoGenerations(WORD_LIMIT)
 
     def _of_words(self, words: list[str]) -> list[bytes]:
+        """Words of letters only go to the library as one text, for each is one word of the vocabulary and has one token that closes it."""
         kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+        letters = [w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w) and w.lower().isalpha()) for w in words] if len(self.closes) else [False] * len(words)
+        plain = [w for w, own in zip(words, letters) if own]
+        known: list[bytes] = []
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, kind)
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * self.width
+            raw = ids.tobytes()
+            if len(ends) == len(some) and ends[-1] == len(raw):
+                ends = ends.tolist()
+                known += [raw[a:b] for a, b in zip([0, *ends], ends)]
+            else:
+                known += [np.array(e.ids, kind).tobytes() for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]
+        other = [np.array(e.ids, kind).tobytes() for e in self.lib.encode_batch_fast([w for w, own in zip(words, letters) if not own], add_special_tokens=False)]
+        one, two = iter(known), iter(other)
+        return [next(one) if own else next(two) for own in letters]
 
     def _make(self, pieces: list[str]) -> list[bytes]:
         """Closing points and commas after a letter are words of their own, so pieces that differ in them share an encoding."""

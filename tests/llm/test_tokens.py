@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -92,3 +93,27 @@ def test_pieces_of_case_variants_and_marks_are_the_librarys(spark):
 def test_queries_have_their_columns(spark, sf):
     assert queries.op6_token_counts(spark, sf).columns[:4] == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert queries.op9_bpe_automaton(spark, sf).columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_long_runs_of_blanks_take_linear_time():
+    counter = prefix_counts.PrefixCounter(BYTES)
+    lib = Tokenizer.from_file(BYTES)
+    for run in (" " * 300, " \n" * 150, "\t" * 70 + " ", " " * 40 + "\x1c" * 20, "\u3000" * 60):
+        for text in (run, f"a{run}b", f"{run}, c{run}\n"):
+            got = prefix_counts.counts_of(counter.table(text)[0])
+            assert got.tolist() == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    start = time.perf_counter()
+    text = "x" + " " * 100_000 + "y"
+    assert counter.table(text)[1] == len(lib.encode(text, add_special_tokens=False).ids)
+    assert time.perf_counter() - start < 30
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "Hello", "it's", "İx", "ΑΣ", "é", "é", "J̌", "क़", "ǅ", "ﬁn", "a1b", "漢字", "ßA", "ẞ", ".", ",", " ", "  ", "\n", " ", "\x1c", "a" * 70, "🙂", "ºx"]), max_size=12))
+def test_pieces_are_the_librarys(parts):
+    own = test_pieces_are_the_librarys
+    if not hasattr(own, "lib"):
+        own.lib, own.enc = Tokenizer.from_file(WORDS), sorted_tables.PieceEncoder(WORDS)
+    text = "".join(parts)
+    got = np.frombuffer(own.enc.encode_batch([text], b"")[0], "<u2").tolist()
+    assert got == own.lib.encode(text, add_special_tokens=False).ids
