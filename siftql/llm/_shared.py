@@ -83,16 +83,13 @@ class TwoGenerations:
         """
         self.turn()
         young, old = self.young, self.old
-        missing = [k for k in keys if k not in young]
+        missing = set(keys) - young.keys()
+        if missing and old:
+            again = missing & old.keys()
+            for k in again:
+                young[k] = old[k]
+            missing -= again
         if missing:
-            if old:
-                new = []
-                for k in missing:
-                    if k in old:
-                        young[k] = old[k]
-                    else:
-                        new.append(k)
-                missing = new
-            if missing:
-                young.update(zip(missing, make(missing)))
+            new = list(missing)
+            young.update(zip(new, make(new)))
         return young

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import posixpath
+import string
 import struct
 import unicodedata
 import uuid
@@ -176,22 +177,37 @@ class PieceEncoder:
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        #: Marks that may close a piece, but for those that close an added token.
+        self.marks = "".join(c for c in string.punctuation if all(c != t[-1:] for t in self.added))
         suffix = getattr(self.lib.model, "end_of_word_suffix", None)
         closes = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
         closes[[i for t, i in self.lib.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
         #: Ids that close a word; none where the vocabulary marks no ends.
         self.closes = closes if suffix else closes[:0]
+        self.bare = self._bare(path) if suffix else self.lib
         self.pieces, self.words = TwoGenerations(PIECE_LIMIT), TwoGenerations(WORD_LIMIT)
 
+    def _bare(self, path: str):
+        """The library without normalizer and splitting pattern, for lower-case words of letters; with them if a probe differs."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        lib = Tokenizer.from_file(path)
+        lib.no_truncation()
+        lib.no_padding()
+        lib.normalizer = normalizers.Sequence([])
+        lib.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "the internationally naïve straße 漢字 кошка x thththth"
+        return lib if lib.encode(probe, add_special_tokens=False).ids == self.lib.encode(probe, add_special_tokens=False).ids else self.lib
+
     def _of_words(self, words: list[str]) -> list[bytes]:
-        """Words of letters only go to the library as one text, for each is one word of the vocabulary and has one token that closes it."""
+        """Lower-case words of letters go to the library as one text, for each is one word of the vocabulary and has one token that closes it."""
         kind = f"<u{self.width}"
-        letters = [w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w) and w.lower().isalpha()) for w in words] if len(self.closes) else [False] * len(words)
+        letters = [w.isalpha() and w.lower() == w and (w.isascii() or unicodedata.is_normalized("NFC", w)) for w in words] if len(self.closes) else [False] * len(words)
         plain = [w for w, own in zip(words, letters) if own]
         known: list[bytes] = []
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, kind)
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, kind)
             ends = (np.flatnonzero(self.closes[ids]) + 1) * self.width
             raw = ids.tobytes()
             if len(ends) == len(some) and ends[-1] == len(raw):
@@ -204,10 +220,10 @@ class PieceEncoder:
         return [next(one) if own else next(two) for own in letters]
 
     def _make(self, pieces: list[str]) -> list[bytes]:
-        """Closing points and commas after a letter are words of their own, so pieces that differ in them share an encoding."""
+        """Closing marks after a letter are a word of their own, so pieces that differ in them share an encoding."""
         cores = []
         for p in pieces:
-            core = p.rstrip(".,")
+            core = p.rstrip(self.marks)
             cores.append(core if core and core[-1].lower()[-1].isalpha() else p)  # a dotted capital I ends in a mark once lowered
         known = self.words.fetch(dict.fromkeys([*cores, *[p[len(c) :] for p, c in zip(pieces, cores) if len(c) < len(p)]]), self._of_words)
         return [known[c] if len(c) == len(p) else known[c] + known[p[len(c) :]] for p, c in zip(pieces, cores)]
