@@ -37,8 +37,7 @@ BLOCK_BYTES = 64 * 1024
 FOOTER = struct.Struct("<QQQQQQB7x8s")  # index at, filter at, filter end, entries, ids, blocks, width, magic
 INDEX = struct.Struct("<9sBHQIIQ")  # first key, -, entries, offset, length, crc32, ids before
 BITS_PER_KEY, PROBES = 10, 7
-PIECE_LIMIT = 300_000
-WORD_LIMIT = 300_000
+PIECE_LIMIT = 400_000
 #: Words that the library encodes as one text.
 TOGETHER = 2_000
 
@@ -185,7 +184,7 @@ class PieceEncoder:
         #: Ids that close a word; none where the vocabulary marks no ends.
         self.closes = closes if suffix else closes[:0]
         self.bare = self._bare(path) if suffix else self.lib
-        self.pieces, self.words = TwoGenerations(PIECE_LIMIT), TwoGenerations(WORD_LIMIT)
+        self.pieces = TwoGenerations(PIECE_LIMIT)
 
     def _bare(self, path: str):
         """The library without normalizer and splitting pattern, for lower-case words of letters; with them if a probe differs."""
@@ -225,8 +224,14 @@ class PieceEncoder:
         for p in pieces:
             core = p.rstrip(self.marks)
             cores.append(core if core and core[-1].lower()[-1].isalpha() else p)  # a dotted capital I ends in a mark once lowered
-        known = self.words.fetch(dict.fromkeys([*cores, *[p[len(c) :] for p, c in zip(pieces, cores) if len(c) < len(p)]]), self._of_words)
-        return [known[c] if len(c) == len(p) else known[c] + known[p[len(c) :]] for p, c in zip(pieces, cores)]
+        young, old = self.pieces.young, self.pieces.old
+        parts = {*cores, *[p[len(c) :] for p, c in zip(pieces, cores) if len(c) < len(p)]} - young.keys()
+        for k in parts & old.keys():
+            young[k] = old[k]
+            parts.remove(k)
+        new = list(parts)
+        young.update(zip(new, self._of_words(new)))  # a core is a piece too
+        return [young[c] if len(c) == len(p) else young[c] + young[p[len(c) :]] for p, c in zip(pieces, cores)]
 
     def _folded(self, text: str) -> str:
         """Lower case and plain spaces, which the vocabulary's normalizer makes anyway.
