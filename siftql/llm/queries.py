@@ -77,7 +77,7 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    got = secret_scan.scan(read_table(spark, sf_dir, "documents"), dictionary=public_tokenizers.path("word_bpe_49k.json"))
     return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans", "n_guess")
 
 

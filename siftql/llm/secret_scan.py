@@ -9,6 +9,7 @@ sequences and brute-force spans, and values that cost at least ``10 ** MIN_LOG10
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ CONTEXTS = (
 )
 _CONTEXT_MARKS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "://")
 
-#: The most guessed strings first; the rank is the number of guesses.
+#: Strings that are guessed before any dictionary word; the rank is the number of guesses.
 COMMON = """123456 password 12345678 qwerty 123456789 12345 1234 111111 1234567 dragon 123123 baseball abc123 football monkey
 letmein shadow master 696969 michael mustang 666666 qwertyuiop 123321 654321 superman 1qaz2wsx 7777777 121212 000000 qazwsx
 123qwe killer trustno1 jordan jennifer zxcvbnm asdfgh hunter buster soccer harley batman andrew tigger sunshine iloveyou 2000
@@ -50,8 +51,31 @@ take people into year good some could them see other than then now look only com
 first well way even new want because any these give day most us house water green black white blue red orange summer winter spring
 autumn monday tuesday wednesday thursday friday january february march april june july august september october november december
 apple banana correct horse battery staple correcthorse coffee music happy money family friend world hello secure security""".split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON))}
-LONGEST = max(map(len, RANK))
+#: Shortest dictionary word, and the longest that is looked up.
+SHORTEST, LONGEST = 3, 24
+#: A run of repeats, steps or keys is taken from any of its first so many places, and repeats with periods up to this many characters:
+#: longer periods cost more than ``MIN_LOG10`` by themselves.
+RUN_STARTS, PERIODS = 64, 10
+_RANKS: dict[str | None, dict[str, int]] = {}
+
+
+def ranks(dictionary: str | None) -> dict[str, int]:
+    """Guesses for each word: the common strings, then the words of a vocabulary file in its order, which is that of frequency.
+
+    ``dictionary``: a tokenizer file in JSON whose tokens mark the ends of words; its tokens of letters that close a word
+    count.  None: the common strings only.
+    """
+    if dictionary not in _RANKS:
+        words = list(COMMON)
+        if dictionary is not None:
+            with open(dictionary, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            end = model["end_of_word_suffix"]
+            words += [w for t, _ in sorted(model["vocab"].items(), key=lambda x: x[1]) if t.endswith(end) and SHORTEST <= len(w := t[: -len(end)]) <= LONGEST and w.isalpha()]
+        _RANKS[dictionary] = {w: k + 1 for k, w in enumerate(dict.fromkeys(words))}
+    return _RANKS[dictionary]
+
+
 _LEET = str.maketrans("04135$@!7", "oaiessait")
 
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -83,25 +107,34 @@ def _case(part: str) -> float:
     return math.log10(sum(math.comb(len(part), k) for k in range(1, min(upper, len(part) - upper) + 1)) or 2)
 
 
-def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def _runs(value: str, keys: str) -> tuple[list[int], list[int], dict[int, list[int]], list[int]]:
+    """For each end: where the walk, the steps and the repeats of each period that end there begin; and row changes so far."""
+    n = len(value)
+    walk, step, same, turns = [0] * (n + 1), [0] * (n + 1), {p: [0] * (n + 1) for p in range(1, PERIODS + 1)}, [0] * (n + 1)
+    for i in range(1, n):
+        p, q = _PLACE.get(keys[i - 1]), _PLACE.get(keys[i])
+        turns[i + 1] = turns[i] + (p is not None and q is not None and p[0] != q[0])
+        walk[i + 1] = walk[i] if _near(keys[i - 1], keys[i]) and keys[i - 1] != keys[i] else i
+        d = ord(value[i]) - ord(value[i - 1])
+        step[i + 1] = i if abs(d) != 1 else step[i] if i - step[i] < 2 or ord(value[i - 1]) - ord(value[i - 2]) == d else i - 1
+        for period, run in same.items():
+            if i >= period:
+                run[i + 1] = run[i] if value[i] == value[i - period] else i + 1 - period
+    return walk, step, same, turns
+
+
+def segment(value: str, dictionary: str | None = None, enough: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for ``value`` and the cheapest segmentation as (kind, start, end).
 
-    Each position looks back over dictionary words up to the longest one, dates up to ten characters, and the one run of
-    repeats, walk or sequence that ends there, so time is linear in the length of the value.
+    Each position looks back over dictionary words up to the longest one, dates up to ten characters, brute force, and the
+    repeats, walks and steps that end there, from each of the run's first places.  Time is linear in the length of the
+    value; where no segmentation can cost less than ``enough``, it stops with a cost of at least that and no segments.
     """
-    n = len(value)
+    n, rank_of = len(value), ranks(dictionary)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
     keys = low.translate(_SHIFTED)
-    # Beginnings of the run that ends at each position.
-    walk, step, same = [0] * (n + 1), [0] * (n + 1), {p: [0] * (n + 1) for p in range(1, 9)}
-    for i in range(1, n):
-        walk[i + 1] = walk[i] if _near(keys[i - 1], keys[i]) and keys[i - 1] != keys[i] else i
-        d = ord(value[i]) - ord(value[i - 1])
-        step[i + 1] = step[i] if abs(d) == 1 and (i - step[i] < 2 or ord(value[i - 1]) - ord(value[i - 2]) == d) else i - 1 if abs(d) == 1 else i
-        for p, run in same.items():
-            if i >= p:
-                run[i + 1] = run[i] if value[i] == value[i - p] else i + 1 - p
+    walk, step, same, turns = _runs(value, keys)
     best: list[float] = [0.0] * (n + 1)
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
     brute = [0.0]
@@ -112,35 +145,40 @@ def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         if value[i].isdigit():
             if m := _DATE.match(value, i):
                 dates.setdefault(m.end(), []).append(i)
-            if i + 4 <= n and value[i : i + 2] in ("19", "20") and value[i + 2 : i + 4].isdigit():
+            if value[i : i + 2] in ("19", "20") and value[i + 2 : i + 4].isdigit():
                 dates.setdefault(i + 4, []).append(i)
     free = 0.0  # cheapest start of a brute-force span, less what is brute before it
     free_at = 0
+    reach = 0  # no run, word or date that begins below ``enough`` ends beyond
     for end in range(1, n + 1):
         cost, how = free + brute[end], ("brute", free_at)
-        for size in range(1 if end == 1 else 3, min(end, LONGEST) + 1):
+        for size in range(1 if end == 1 else SHORTEST, min(end, LONGEST) + 1):
             at = end - size
-            rank = RANK.get(low[at:end])
-            extra = 0.0
+            rank, extra = rank_of.get(low[at:end]), 0.0
             if rank is None:
-                rank, extra = RANK.get(plain[at:end]), 0.602
+                rank, extra = rank_of.get(plain[at:end]), 0.602
             if rank is not None and (c := best[at] + math.log10(rank + 1) + _case(value[at:end]) + extra) < cost:
                 cost, how = c, ("word", at)
         for at in dates.get(end, ()):
             if (c := best[at] + (2.1 if end - at == 4 else 4.6)) < cost:
                 cost, how = c, ("date", at)
-        if end - (at := walk[end]) >= 4:
-            turns = 1 + sum(_PLACE[keys[k]][0] != _PLACE[keys[k + 1]][0] for k in range(at, min(end, at + 64) - 1))
-            if (c := best[at] + math.log10(47 * (end - at)) + 0.7 * turns) < cost:
+        for at in range(walk[end], min(end - 4, walk[end] + RUN_STARTS - 1) + 1):
+            if (c := best[at] + math.log10(47 * (end - at)) + 0.7 * (1 + turns[end] - turns[at + 1])) < cost:
                 cost, how = c, ("walk", at)
-        if end - (at := step[end]) >= 3 and (c := best[at] + 1.5 + math.log10(end - at)) < cost:
-            cost, how = c, ("sequence", at)
+        for at in range(step[end], min(end - 3, step[end] + RUN_STARTS - 1) + 1):
+            if (c := best[at] + 1.5 + math.log10(end - at)) < cost:
+                cost, how = c, ("sequence", at)
         for p, run in same.items():
-            if end - (at := run[end]) >= max(3, 2 * p) and (c := best[at] + brute[at + p] - brute[at] + math.log10((end - at) / p + 1)) < cost:
-                cost, how = c, ("repeat", at)
+            for at in range(run[end], min(end - max(3, 2 * p), run[end] + RUN_STARTS - 1) + 1):
+                if (c := best[at] + brute[at + p] - brute[at] + math.log10((end - at) / p + 1)) < cost:
+                    cost, how = c, ("repeat", at)
         best[end], back[end] = cost, how
         if cost + 0.301 - brute[end] < free:
             free, free_at = cost + 0.301 - brute[end], end
+        if cost < enough:
+            reach = end
+        elif free + brute[end] >= enough and end - reach >= LONGEST and walk[end] > reach and step[end] > reach and all(run[end] > reach for run in same.values()):
+            return cost, []
     parts, end = [], n
     while end:
         kind, at = back[end]
@@ -150,9 +188,9 @@ def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
 
 
 @lru_cache(maxsize=20_000)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses needed for ``value``."""
-    return segment(value)[0]
+def guess_cost(value: str, dictionary: str | None = None, enough: float = math.inf) -> float:
+    """log10 of the guesses needed for ``value``; exact below ``enough``."""
+    return segment(value, dictionary, enough)[0]
 
 
 def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int]]:
@@ -168,7 +206,7 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def scan_text(text: str, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan_text(text: str, min_log10: float = MIN_LOG10, dictionary: str | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The spans of the fixed patterns, and all spans, as (start, kind, end) in order."""
     low = text.lower()
     base = base_spans(text, low)
@@ -177,7 +215,7 @@ def scan_text(text: str, min_log10: float = MIN_LOG10) -> tuple[list[tuple[int,
         for context in CONTEXTS:
             for m in context.finditer(text):
                 g = m.lastindex  # a quoted value runs to its closing quote
-                if guess_cost(m[g]) >= min_log10:
+                if guess_cost(m[g], dictionary, min_log10) >= min_log10:
                     more.add((m.start(g), 3, m.end(g)))
     return base, sorted({*base, *more}) if more else base
 
@@ -196,13 +234,14 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_log10: float = MIN_LOG10, with_text: bool = False) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_log10: float = MIN_LOG10, dictionary: str | None = None, with_text: bool = False) -> DataFrame:
     """The spans of secrets in every whole text.
 
     Returns ``id_col``, ``n_assign``, ``n_access``, ``n_hex``, ``n_guess`` (long), ``base_spans`` and ``spans`` (``kind:start:end``
     by start, then kind, joined by commas; code points, end exclusive), with ``with_text`` also ``redacted``.
 
-    A null text counts as empty: no spans.  One row for each row, one pass, no shuffle; other columns are not read.
+    ``dictionary``: see :func:`ranks`.  A null text counts as empty: no spans.  One row for each row, one pass, no shuffle;
+    texts are read whole, however long; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +249,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min
             n: list[list[int]] = [[], [], [], []]
             base_out, out, clean = [], [], []
             for text in batch.column(1).to_pylist():
-                base, spans = scan_text(text, min_log10)
+                base, spans = scan_text(text, min_log10, dictionary)
                 for k in range(4):
                     n[k].append(sum([s[1] == k for s in spans]) if spans else 0)
                 base_out.append(written(base))
@@ -228,8 +267,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min
     return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def redact_table(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", *, min_log10: float = MIN_LOG10) -> DataFrame:
-    """``docs`` with secrets replaced in ``text_col``, and ``length_col`` (if it is a column) set to the new length of changed texts."""
+def redact_table(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", *, min_log10: float = MIN_LOG10, dictionary: str | None = None) -> DataFrame:
+    """``docs`` with secrets replaced in ``text_col``, and ``length_col`` (if it is a column) set to the new length of changed texts.
+
+    ``dictionary``: see :func:`ranks`.  Null and empty texts stay as they are; every row stays, repeated ones too; texts are
+    read whole, however long; an empty table gives no rows.
+    """
     names = docs.columns
     at = names.index(text_col)
     length_at = names.index(length_col) if length_col in names else None
@@ -240,7 +283,7 @@ def redact_table(docs: DataFrame, text_col: str = "text", length_col: str | None
             lengths = batch.column(length_at).to_pylist() if length_at is not None else None
             changed = False
             for k, text in enumerate(texts):
-                if text and (spans := scan_text(text, min_log10)[1]):
+                if text and (spans := scan_text(text, min_log10, dictionary)[1]):
                     texts[k], changed = redact(text, spans), True
                     if lengths is not None:
                         lengths[k] = len(texts[k])

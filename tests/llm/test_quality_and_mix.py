@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftql.llm import mixing, quality_classifier, quality_rules, queries
 from siftql.llm._shared import read_table
@@ -69,6 +70,35 @@ def test_targets_reshare_the_excess():
     assert mixing.targets([], []) == []
 
 
+def brute_mix(docs):
+    """Every block of every shard as a list of its words' documents, taken whole for each of its seats."""
+    h = F.xxhash64("doc_id", "text", F.lit(17))
+    rows = docs.select("doc_id", "text", "source", h.alias("h"), F.xxhash64(h).alias("hh")).collect()
+    rows = [(r.h, -1 if r.doc_id is None else r.doc_id, len(WORD.findall(r.text or "")), k, r) for k, r in enumerate(rows)]
+    names = sorted({r[4].source for r in rows}, key=lambda s: (s is None, s or ""))
+    size = [sum(r[2] for r in rows if r[4].source == s) for s in names]
+    aim = mixing.targets(size, [(1, 2, 3)[k % 3] for k in range(len(names))])
+    shard_words = max(mixing.SHARD_WORDS, -(-sum(size) // mixing.MAX_SHARDS))
+    shards = {}
+    for r in sorted(rows, key=lambda r: r[:4]):
+        k = names.index(r[4].source)
+        shards.setdefault((k, r[4].hh % max(1, size[k] // shard_words)), []).extend([r[3]] * r[2])
+    own = {k: [shards[k][at : at + mixing.BLOCK_WORDS] for at in range(0, len(shards[k]), mixing.BLOCK_WORDS)] for k in sorted(shards)}
+    dealt = mixing.apportion(aim, round(sum(size) / mixing.BLOCK_WORDS), [3 * sum(len(b) for k, b in own.items() if k[0] == i) for i in range(len(names))])
+    draw, taken = random.Random(17), Counter()
+    for i in range(len(names)):
+        keys = [k for k in own if k[0] == i]
+        for k, seats in zip(keys, mixing.apportion([float(len(shards[k])) for k in keys], dealt[i], [3 * len(own[k]) for k in keys])):
+            n = max(1, len(own[k]))
+            start = draw.randrange(n)
+            for b, block in enumerate(own[k]):
+                # Even spacing: block b is chosen if a multiple of n lies in its step of the running sum.
+                times = seats // n + ((b + 1) * (seats % n) + start) // n - (b * (seats % n) + start) // n
+                for doc in block:
+                    taken[doc] += times
+    return Counter((r[4].doc_id, r[2], taken[r[3]]) for r in rows)
+
+
 def test_mix_meets_targets_and_reruns_agree(spark, odd, nothing, sf):
     for docs in (read_table(spark, sf, "documents"), odd):
         rows = docs.collect()
@@ -77,10 +107,11 @@ def test_mix_meets_targets_and_reruns_agree(spark, odd, nothing, sf):
         assert Counter((r.doc_id, r.size) for r in a) == Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in rows)
         assert all(0 <= r.taken <= 3 * r.size for r in a)
         by = {}
-        for r in a:
-            by.setdefault((r.source_size, r.target), []).append(r.taken)
+        for r in mixing.mix(docs, carry=["source"]).collect():
+            by.setdefault((r.carried.source, r.target), []).append(r.taken)
         for (_, target), taken in by.items():
             assert abs(sum(taken) - target) <= max(64, 0.02 * target)
+        assert Counter((r.doc_id, r.size, r.taken) for r in a) == brute_mix(docs)
     assert mixing.mix(nothing).count() == 0
     again = mixing.mixed_documents(odd)
     assert again.columns == odd.columns and max(Counter(r.doc_id for r in again.collect() if r.doc_id == 8).values(), default=0) <= 3
