@@ -13,6 +13,10 @@ from siftql.llm import bag_minhash, bpe_automaton, mixing, quality_rules, secret
 from siftql.llm._shared import materialize, read_table
 
 
+#: Vocabulary whose words the secrets stage takes for guessable.
+DICTIONARY = public_tokenizers.path("word_bpe_49k.json")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the default policy of the quality rules rejects go."""
     return quality_rules.keep_good(docs)
@@ -25,7 +29,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
-    return secret_scan.redact_table(docs)
+    return secret_scan.redact_table(docs, dictionary=DICTIONARY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
