@@ -18,7 +18,8 @@ from siftql.plans.expressions import Compiler, Scope
 from siftql.plans.values import BOOL, CompileProblem, Val
 from siftql.sources import readers
 
-VARIABLES = {"@@max_allowed_packet": 4194304, "@@session.auto_increment_increment": 1, "@@session.tx_isolation": "REPEATABLE-READ", "@@character_set_client": "utf8", "@@character_set_connection": "utf8", "@@character_set_results": "utf8", "@@character_set_server": "utf8", "@@init_connect": "", "@@interactive_timeout": 28800, "@@license": "MIT", "@@lower_case_table_names": 0, "@@net_buffer_length": 16384, "@@net_write_timeout": 600, "@@query_cache_size": 1048576, "@@query_cache_type": "OFF", "@@sql_mode": "STRICT_TRANS_TABLES,NO_ENGINE_SUBSTITUTION", "@@system_time_zone": "UTC", "@@time_zone": "SYSTEM", "@@tx_isolation": "REPEATABLE-READ", "@@version_comment": "siftql", "@@wait_timeout": 28800, "@@autocommit": 1}
+#: Session variables that clients of MySQL ask for, under MySQL's names.
+VARIABLES = {"@@max_allowed_packet": 4194304, "@@session.auto_increment_increment": 1, "@@session.tx_isolation": "REPEATABLE-READ", "@@character_set_client": "utf8", "@@character_set_connection": "utf8", "@@character_set_results": "utf8", "@@character_set_server": "utf8", "@@init_connect": "", "@@interactive_timeout": 28800, "@@auto_increment_increment": 1, "@@session.tx_read_only": 0, "@@lower_case_table_names": 0, "@@net_buffer_length": 16384, "@@net_write_timeout": 600, "@@query_cache_size": 1048576, "@@query_cache_type": "OFF", "@@sql_mode": "STRICT_TRANS_TABLES,NO_ENGINE_SUBSTITUTION", "@@system_time_zone": "UTC", "@@time_zone": "SYSTEM", "@@tx_isolation": "REPEATABLE-READ", "@@version_comment": "siftql", "@@wait_timeout": 28800, "@@autocommit": 1}
 
 
 @dataclass
@@ -27,6 +28,8 @@ class Table:
     key: str | None = None
     #: The engine may replace it by DML.
     own: bool = False
+    #: Folders of an own table's files.
+    paths: tuple[str, ...] = ()
 
 
 @dataclass
@@ -42,6 +45,8 @@ class Engine:
         self.functions: dict[str, Function] = {}
         self.variables: dict[str, object] = dict(VARIABLES)
         self.prepared: dict[str, str] = {}
+        #: Folders that DML has superseded.
+        self.stale: set[str] = set()
 
     # Catalogue.
     def register(self, name: str, df: DataFrame, key: str | None = None, own: bool = False, schema: str | None = None) -> Engine:
@@ -102,18 +107,45 @@ class Engine:
         v = columns.get(self.time_column.lower()) if self.time_column else None
         return v.col if v is not None and v.kind == "time" else None
 
-    def settle(self, df: DataFrame) -> DataFrame:
-        """Write a frame to the warehouse and read it back."""
+    def write(self, df: DataFrame) -> str:
+        """Write a frame to the warehouse; its folder."""
         path = f"{self.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siftql/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        return path
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Write a frame to the warehouse and read it back, for the length of a statement."""
+        path = self.write(df)
+        self.stale.add(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _have(self, table: Table, paths: tuple[str, ...], schema) -> None:
+        table.paths, table.df = paths, self.spark.read.schema(schema).parquet(*paths)
+
     def replace(self, name: str, df: DataFrame) -> None:
-        self.own(name).df = self.settle(df)
+        table = self.own(name)
+        path = self.write(df)
+        self.stale.update(table.paths)
+        self._have(table, (path,), df.schema)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        table = self.own(name)
+        self._have(table, (*table.paths, self.write(df)), table.df.schema)
 
     def save(self, name: str, df: DataFrame, key: str | None = None) -> None:
         """A table of the engine's own."""
-        self.register(name, self.settle(df), key, own=True)
+        self.register(name, df, key, own=True)
+        table = self.catalog[self.current].tables[name.lower()]
+        self._have(table, (self.write(df),), df.schema)
+
+    def vacuum(self) -> int:
+        """Delete what statements have superseded; frames that were read before and not yet used lose their rows."""
+        for path in self.stale:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        n = len(self.stale)
+        self.stale.clear()
+        return n
 
     # Languages.
     def sql(self, text: str, *params) -> DataFrame:
@@ -217,7 +249,8 @@ class Engine:
         else:
             self.find(name)
             for schema in self.catalog.values():
-                if schema.tables.pop(name, None):
+                if gone := schema.tables.pop(name, None):
+                    self.stale.update(gone.paths)
                     break
         return self._affected(0)
 
@@ -226,7 +259,8 @@ class Engine:
 
     def expression(self, df: DataFrame, text: str) -> Column:
         """A column for an expression; unknown names are missing values."""
-        return self._compiler(df)(parse_expression(text)).col
+        comp = self._compiler(df)
+        return comp.solid(comp(parse_expression(text)))
 
     def _compiler(self, df: DataFrame) -> Compiler:
         columns = Scope.of(df).columns

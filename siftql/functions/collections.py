@@ -118,7 +118,8 @@ def _kept(x, args, keep):
         return Val(F.when(F.size(got) > 0, got), x.type)
     if x.kind == "array":
         kind = x.type.elementType
-        return Val(F.filter(x.col, lambda e: test(to_str(Val(e, kind)))), x.type)
+        got = F.filter(x.col, lambda e: test(to_str(Val(e, kind))))
+        return Val(F.when(F.size(got) > 0, got), x.type)
     return Val(F.when(test(to_str(x)), to_str(x)), STR)
 
 

@@ -30,10 +30,13 @@ def count(c, *xs):
 def _numbers(args):
     """All arguments and elements of arrays as one array of doubles, and whether an element is no number."""
     parts, bad = [], F.lit(False)
+
+    def numbers(a):
+        return F.transform(F.coalesce(a.col, F.array().cast(a.type)), lambda e: to_float(Val(e, a.type.elementType)))
+
     for a in args:
         if a.kind == "array":
-            kind = a.type.elementType
-            x = F.transform(F.coalesce(a.col, F.array().cast(a.type)), lambda e, kind=kind: to_float(Val(e, kind)))
+            x = numbers(a)
             bad = bad | F.exists(x, lambda e: e.isNull())
             parts.append(x)
         else:

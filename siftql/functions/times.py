@@ -87,16 +87,16 @@ def to_date_in(c, d, zone):
 
 @function("seconds")
 def seconds(c, x):
-    """``M10:30`` and ``10:30`` as minutes and seconds, numbers as they are, dates as seconds since 1970."""
+    """``M10:30`` and ``10:30`` as minutes and seconds, ``M30`` as seconds, numbers as they are, dates as seconds since 1970."""
     if x.kind == "time":
         return Val(F.unix_seconds(x.col.cast("timestamp")).cast("double"), FLOAT)
     if x.kind in ("int", "float"):
         return Val(to_float(x), FLOAT)
     s = to_str(x)
-    clock = r"^[A-Za-z]?(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)$"
+    clock = r"^[A-Za-z]?(?:(\d+(?:\.\d+)?):)??(?:(\d+(?:\.\d+)?):)?(\d+(?:\.\d+)?)$"
     group = lambda k: F.coalesce(F.regexp_extract(s, clock, k).try_cast("double"), F.lit(0.0))
     by_clock = group(1) * 3600 + group(2) * 60 + group(3)
-    return Val(F.when(s.rlike(clock), by_clock).when(s.rlike(r"^-?\d+(\.\d+)?$"), s.try_cast("double")).otherwise(F.unix_seconds(parse_time(s)).cast("double")), FLOAT)
+    return Val(F.when(s.rlike(r"^-?\d+(\.\d+)?$"), s.try_cast("double")).when(s.rlike(clock), by_clock).otherwise(F.unix_seconds(parse_time(s)).cast("double")), FLOAT)
 
 
 #: Directives of strftime and the letters of the same meaning.

@@ -43,6 +43,13 @@ def email_is_valid(c, x):
     return Val(F.coalesce(to_str(x).rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), F.lit(False)), BOOL)
 
 
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+
+
+#: No host has these.
+BAD_HOST = r"[\s%\"<>\\^`{|}]"
+
+
 def _schemed(s):
     return F.when(s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), s).otherwise(F.concat(F.lit("http://"), s))
 
@@ -53,7 +60,8 @@ def _url(s):
 
 
 def _host(s):
-    return F.nullif(F.lower(F.regexp_extract(_schemed(s), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    got = F.nullif(F.lower(F.regexp_extract(_schemed(s), HOST, 1)), F.lit(""))
+    return F.when(~got.rlike(BAD_HOST), got)
 
 
 def _domain(s):
@@ -61,10 +69,14 @@ def _domain(s):
     return F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, -2, 2), "."))
 
 
+#: Shorter texts are no URL with a host.
+LEAST_HOST = 8
+
+
 @function("host")
 def host(c, x):
     s = to_str(x)
-    return Val(F.when(F.length(s) >= 4, _host(s)), STR)
+    return Val(F.when(F.length(s) >= LEAST_HOST, _host(s)), STR)
 
 
 @function("domain")
@@ -77,15 +89,19 @@ def _many(name, build, least):
     def made(c, *xs):
         arrays = [F.coalesce(x.col.cast("array<string>"), F.array().cast("array<string>")) if x.kind == "array" else F.array(to_str(x)) for x in xs]
         got = F.transform(F.concat(*arrays), lambda u: F.when(F.length(u) >= least, build(u)))
-        return Val(F.array_distinct(F.filter(got, lambda u: u.isNotNull())), LIST)
+        found = F.array_distinct(F.filter(got, lambda u: u.isNotNull()))
+        return Val(F.when(F.size(found) > 0, found), LIST)
 
 
 _many("domains", _domain, 4)
-_many("hosts", _host, 8)
+_many("hosts", _host, LEAST_HOST)
 
 
 def _path(s):
-    return F.regexp_extract(_schemed(s), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    """Texts that begin with neither http nor a slash are taken to follow ``http://``, another scheme included."""
+    s = F.when(s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") & ~s.startswith("http"), F.concat(F.lit("http://"), s)).otherwise(s)
+    got = F.regexp_extract(_schemed(s), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.when(~F.regexp_extract(_schemed(s), HOST, 1).rlike(BAD_HOST), got)
 
 
 @function("path")
@@ -96,7 +112,8 @@ def path(c, x):
 @function("urlmain")
 def url_main(c, x):
     s = to_str(x)
-    return Val(F.concat(_host(s), _path(s)), STR)
+    place = F.regexp_extract(F.regexp_replace(s, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?", ""), r"^([^?#]*)", 1)
+    return Val(F.when(~F.regexp_extract(place, "^([^/]*)", 1).rlike(BAD_HOST), F.nullif(place, F.lit(""))), STR)
 
 
 def _query(s, key):
@@ -120,7 +137,7 @@ def url_decode(c, x):
 
 
 def rewrite_query(url: str, keep) -> str | None:
-    """``url`` with the parameters that ``keep(name)`` accepts, in order of their names."""
+    """``url`` with the parameters that ``keep(name)`` accepts, in order of their names; None if its host cannot be one."""
     if not url:
         return None
     full = url if "://" in url else f"http://{url}"
@@ -128,6 +145,8 @@ def rewrite_query(url: str, keep) -> str | None:
         u = urlsplit(full)
     except ValueError:
         return None
+    if re.search(BAD_HOST, u.netloc):
+        return None
     pairs = sorted(((k, v) for k, v in parse_qsl(u.query, keep_blank_values=True) if keep(k)), key=lambda p: p[0])
     return u._replace(query=urlencode(pairs)).geturl()
 
@@ -137,6 +156,8 @@ def url_minus(c, x, key):
     if not isinstance(key.literal, str):
         raise CompileProblem("the parameter must be a literal string")
     name = key.literal
+    if not name:
+        return Val(F.lit(None).cast("string"), STR)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -145,16 +166,23 @@ def url_minus(c, x, key):
     return Val(run(to_str(x)), STR)
 
 
-@function("url.matchqs", least=2, most=None)
+@function("url.matchqs", least=1, most=None)
 def url_match(c, x, *patterns):
+    """A URL without its scheme, with the parameters whose names match a pattern; with none, without parameters."""
     try:
         rules = [re.compile(p.literal) for p in patterns]
     except (TypeError, re.error) as e:
         raise CompileProblem("patterns must be literal regular expressions") from e
+    if not all(p.literal for p in patterns):
+        raise CompileProblem("a pattern is empty")
+
+    def short(u):
+        got = rewrite_query(u, lambda k: any(r.search(k) for r in rules))
+        return got and got.partition("://")[2]
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda u: rewrite_query(u, lambda k: any(r.search(k) for r in rules)))
+        return s.map(short)
 
     return Val(run(to_str(x)), STR)
 

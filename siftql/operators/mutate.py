@@ -1,12 +1,14 @@
 """INSERT, REPLACE, UPSERT, UPDATE and DELETE on the engine's own tables.
 
-A table is an immutable frame; a statement replaces it by a new one, written to the warehouse so that its lineage does not
-grow with the number of statements.  Each returns how many rows it touched.
+A table is an immutable frame; a statement adds files to it or replaces it by a new one, written to the warehouse so that
+its lineage does not grow with the number of statements.  Frames that were read before keep what they saw, until
+``Engine.vacuum`` deletes the files that no table has any more.  Each statement returns how many rows it touched.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from siftql.lang import tree as t
 from siftql.operators.select import Planner
@@ -15,6 +17,11 @@ from siftql.plans.values import CompileProblem, convert
 
 
 def insert(engine, s: t.Insert, params: tuple = ()) -> int:
+    """Rows of VALUES, or of a query by place.  Under a key, the last row of the statement stays and replaces what the table has.
+
+    The last row of a query with ORDER BY is the last in that order; without one, it is the greatest of the rows of the key.
+    Rows whose key is NULL share it.  Where nothing is replaced, the statement adds a file and the table is not rewritten.
+    """
     table = engine.own(s.table)
     old, planner = table.df, Planner(engine, params)
     columns = list(s.columns) or old.columns
@@ -26,38 +33,38 @@ def insert(engine, s: t.Insert, params: tuple = ()) -> int:
         if len(got.columns) != len(columns):
             raise CompileProblem("the query has another number of columns than the table")
         scope = Scope.of(got.toDF(*[f"c{k}" for k in range(len(columns))]))
-        new = got.toDF(*[f"c{k}" for k in range(len(columns))]).select(*[convert(scope.columns[f"c{k}"], kinds[c.lower()].dataType).alias(kinds[c.lower()].name) for k, c in enumerate(columns)])
+        made = [convert(scope.columns[f"c{k}"], kinds[c.lower()].dataType).alias(kinds[c.lower()].name) for k, c in enumerate(columns)]
+        place = F.monotonically_increasing_id() if s.query.order else F.lit(0).cast("long")
+        new = got.toDF(*[f"c{k}" for k in range(len(columns))]).select(*made, place.alias("#place"))
     else:
         comp = Compiler(planner.scope({}))
         rows = []
-        for r in s.rows:
+        for k, r in enumerate(s.rows):
             if len(r) != len(columns):
                 raise CompileProblem("a row has another number of values than the table has columns")
-            rows.append(engine.spark.range(1).select(*[convert(comp(v), kinds[c.lower()].dataType).alias(kinds[c.lower()].name) for c, v in zip(columns, r)]))
-        new = rows[0]
-        for r in rows[1:]:
-            new = new.union(r)
+            made = [convert(comp(v), kinds[c.lower()].dataType).cast(kinds[c.lower()].dataType).alias(kinds[c.lower()].name) for c, v in zip(columns, r)]
+            rows.append(F.struct(*made, F.lit(k).cast("long").alias("#place")))
+        new = engine.spark.range(1).select(F.inline(F.array(*rows)))
     missing = [f for n, f in kinds.items() if n not in {c.lower() for c in columns}]
-    new = new.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*old.columns)
-    new = engine.settle(new)
+    new = engine.settle(new.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*old.columns, "#place"))
     count = new.count()
-    if table.key:
-        # The last row of a key in the statement stays, and replaces what the table has under it.
-        k = F.col(f"`{table.key}`")
-        if s.query is None and count > 1:
-            seen: dict = {}
-            ordered = new.withColumn("_at", F.monotonically_increasing_id())
-            last = ordered.groupBy(k.alias("_key")).agg(F.max("_at").alias("_last"))
-            seen["df"] = ordered.join(last, k.eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_last"))).select(*old.columns)
-            new = seen["df"]
-        gone = new.select(k.alias("_key")).distinct()
-        if s.verb == "upsert" and len(columns) < len(old.columns):
-            # Columns that are not named keep what the row under the key has.
-            a, b = old.alias("a"), new.alias("b")
-            named = {c.lower() for c in columns}
-            new = b.join(a, F.col(f"a.`{table.key}`").eqNullSafe(F.col(f"b.`{table.key}`")), "left").select(*[F.col(f"{'b' if c.lower() in named else 'a'}.`{c}`").alias(c) for c in old.columns])
-        old = old.join(gone, k.eqNullSafe(F.col("_key")), "left_anti")
-    engine.replace(s.table, old.unionByName(new))
+    if not table.key:
+        engine.append(s.table, new.drop("#place"))
+        return count
+    k = F.col(f"`{table.key}`")
+    whole = F.struct(*[F.col(f"`{c}`") for c in new.columns])
+    comparable = F.struct(F.col("`#place`"), *[F.col(f"`{f.name}`") for f in old.schema.fields if not isinstance(f.dataType, MapType)])
+    new = new.groupBy(k.alias("#key")).agg(F.max_by(whole, comparable).alias("#row")).select(*[F.col("#row")[c].alias(c) for c in old.columns])
+    gone = new.select(k.alias("#key"))
+    if old.join(gone, k.eqNullSafe(F.col("`#key`")), "left_semi").isEmpty():
+        engine.append(s.table, new)
+        return count
+    if s.verb == "upsert" and len(columns) < len(old.columns):
+        # Columns that are not named keep what the row under the key has.
+        a, b = old.alias("a"), new.alias("b")
+        named = {c.lower() for c in columns}
+        new = b.join(a, F.col(f"a.`{table.key}`").eqNullSafe(F.col(f"b.`{table.key}`")), "left").select(*[F.col(f"{'b' if c.lower() in named else 'a'}.`{c}`").alias(c) for c in old.columns])
+    engine.replace(s.table, old.join(gone, k.eqNullSafe(F.col("`#key`")), "left_anti").unionByName(new))
     return count
 
 

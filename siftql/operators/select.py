@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftql.lang import tree as t
 from siftql.plans.expressions import Compiler, Scope, auto_name, has_aggregate, is_aggregate
-from siftql.plans.values import CompileProblem, Val, lit
+from siftql.plans.values import BOOL, CompileProblem, Val, lit
 
 
 class Planner:
@@ -61,18 +61,42 @@ class Planner:
         for p in parts:
             if isinstance(p, t.Binary) and p.op == "in" and isinstance(p.right, t.Select):
                 sub = self.select(p.right)
-                if len(sub.columns) != 1:
-                    raise CompileProblem("a sub-query of IN has one column")
-                x = Compiler(scope)(p.left)
-                self.n += 1
-                key = f"in#{self.n}"
-                sub = sub.select(F.col(f"`{sub.columns[0]}`").alias(key)).distinct()
-                df = df.join(sub, x.col == F.col(f"`{key}`"), "left_anti" if p.negated else "left_semi")
+                key, on = self.member(scope, p.left, sub)
+                df = df.join(key, on, "left_anti" if p.negated else "left_semi")
         rest = [p for p in parts if not (isinstance(p, t.Binary) and isinstance(p.right, t.Select))]
         for p in rest:
-            df = df.filter(Compiler(scope).condition(p))
+            flags: dict[str, Val] = {}
+
+            def flagged(node):
+                """``IN (SELECT ...)`` inside a condition: a left join whose match is a column."""
+                nonlocal df
+                if not (isinstance(node, t.Binary) and node.op == "in" and isinstance(node.right, t.Select)):
+                    return node
+                key, on = self.member(scope, node.left, self.select(node.right))
+                name = f"hit#{self.n}"
+                df = df.join(key.withColumn(name, F.lit(True)), on, "left").drop(key.columns[0])
+                hit = F.coalesce(F.col(f"`{name}`"), F.lit(False))
+                flags[f"\0{name}"] = Val(~hit if node.negated else hit, BOOL)
+                return t.Name((f"\0{name}",))
+
+            p = self.lift(p, flagged)
+            df = df.filter(Compiler(replace(scope, columns={**scope.columns, **flags}) if flags else scope).condition(p))
         return df
 
+    def member(self, scope: Scope, left: t.Node, sub: DataFrame):
+        """The distinct values of a sub-query, and when ``left`` equals one of them, by the language's rules for two types.
+
+        A NULL equals nothing, so it is in no sub-query, and NOT IN keeps it whatever NULLs the sub-query has.
+        """
+        if len(sub.columns) != 1:
+            raise CompileProblem("a sub-query of IN has one column")
+        self.n += 1
+        key = f"in#{self.n}"
+        sub = sub.select(F.col(f"`{sub.columns[0]}`").alias(key)).where(F.col(f"`{key}`").isNotNull()).distinct()
+        comp = Compiler(scope)
+        x, y = comp.aligned(comp(left), Val(F.col(f"`{key}`"), sub.schema[0].dataType))
+        return sub, x == y
+
     def conjuncts(self, node: t.Node) -> list[t.Node]:
         return self.conjuncts(node.left) + self.conjuncts(node.right) if isinstance(node, t.Binary) and node.op == "and" else [node]
 
@@ -120,7 +144,10 @@ class Planner:
 
     def flat(self, df, scope, s, columns, titles) -> DataFrame:
         comp = Compiler(scope)
-        made = [self.guarded(comp(c.expr), comp.truth(c.guard) if c.guard is not None else None) for c in columns]
+        values = [comp(c.expr) for c in columns]
+        # A comparison that cannot be made is false where it is shown, too.
+        values = [replace(v, col=comp.solid(v)) for v in values]
+        made = [self.guarded(v, comp.truth(c.guard) if c.guard is not None else None) for v, c in zip(values, columns)]
         df = df.select("*", *[v.col.alias(f"out#{k}") for k, v in enumerate(made)])
         by_name = {n.lower(): Val(F.col(f"`out#{k}`"), made[k].type) for k, n in enumerate(titles)}
         last = self.scope({**scope.columns, **by_name}, lenient=scope.lenient, time=scope.time)
@@ -151,7 +178,7 @@ class Planner:
                 node = aliases[g.text.lower()]
             keys.append((node, comp(node)))
         aggregates: list[tuple[t.Call, Val]] = []
-        scope.aggregate = True
+        comp = Compiler(replace(scope, aggregate=True))
 
         def lift(node):
             """Aggregates and keys inside an expression become columns of the grouped frame."""

@@ -210,7 +210,8 @@ class Compiler:
         """Both ends are excluded."""
         x, low, high = self(n.item), self(n.low), self(n.high)
         if x.kind == "time":
-            x, low, high = (F.unix_seconds(to_time(v, self.scope.now)) for v in (x, low, high))
+            out = Val(self.compare(">", x, low) & self.compare("<", x, high), BOOL, predicate=True)
+            return Val(~self.solid(out), BOOL) if n.negated else out
         elif x.kind in ("int", "float") and {low.kind, high.kind} <= {"int", "float"}:
             x, low, high = x.col, low.col, high.col
         else:
@@ -249,11 +250,40 @@ class Compiler:
         if a.kind == "array" and b.kind == "time" or a.kind == "array" and isinstance(a.type.elementType, (T.TimestampType, T.TimestampNTZType)):
             at = F.unix_seconds(to_time(b, self.scope.now))
             return F.exists(a.col, lambda x: self.sign(op, F.unix_seconds(x.cast("timestamp")), at))
-        x, y = self.aligned(a, b)
-        out = self.sign(op, x, y)
+        if a.kind == "time" and b.is_literal and not a.is_literal:
+            out = self.at_second(op, a, b)
+        elif b.kind == "time" and a.is_literal and not b.is_literal:
+            out = self.at_second({"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op), b, a)
+        else:
+            out = self.sign(op, *self.aligned(a, b))
         # A NULL differs from everything.
         return F.coalesce(out, F.lit(True)) if op == "!=" else out
 
+    def at_second(self, op: str, x: Val, at: Val) -> Column:
+        """A time against a literal by whole seconds, as bounds on the bare column, which reach the scan."""
+        second = F.unix_seconds(to_time(at, self.scope.now))
+
+        def bound(k: Column) -> Column:
+            """The first value of the column's type that is not before second ``k``."""
+            moment = F.timestamp_seconds(k)
+            if isinstance(x.type, T.DateType):
+                return F.date_add(F.to_date(moment - F.expr("INTERVAL 1 MICROSECOND")), 1)
+            return moment.cast(x.type)
+
+        low, high = bound(second), bound(second + 1)
+        match op:
+            case ">":
+                return x.col >= high
+            case ">=":
+                return x.col >= low
+            case "<":
+                return x.col < low
+            case "<=":
+                return x.col < high
+            case "=":
+                return (x.col >= low) & (x.col < high)
+        return (x.col < low) | (x.col >= high)
+
     @staticmethod
     def sign(op: str, x: Column, y: Column) -> Column:
         return {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
