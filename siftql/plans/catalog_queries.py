@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from siftql.engine import Engine
+from siftql.sources import readers
+from siftql.streaming.continuous import select_stream, windowed
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -31,16 +34,16 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "string_to_number": ("SELECT c_custkey, split(c_name, \"#\") IN (\"x\") AS hit, toint(array.index(split(c_name, \"#\"), 1)) + 1 AS n FROM customer", "SELECT c_custkey, list_contains(string_split(c_name, '#'), 'x') AS hit, try_cast(string_split(c_name, '#')[2] AS BIGINT) + 1 AS n FROM customer"),
     "between_exclusive": ("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20", "SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_size < 20"),
     "not_between": ("SELECT p_partkey, p_size FROM part WHERE p_size NOT BETWEEN 10 AND 20", "SELECT p_partkey, p_size FROM part WHERE NOT (p_size > 10 AND p_size < 20)"),
-    "like_glob": ("SELECT p_partkey, p_name FROM part WHERE p_name LIKE \"*1*\"", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%'"),
-    "not_like": ("SELECT p_partkey, p_name FROM part WHERE p_name NOT LIKE \"%1\"", "SELECT p_partkey, p_name FROM part WHERE p_name NOT LIKE '%1'"),
+    "like_glob": ('SELECT p_partkey, p_name FROM part WHERE p_name LIKE "*r*ing"', "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%r%ing'"),
+    "not_like": ('SELECT p_partkey, p_brand FROM part WHERE p_brand NOT LIKE "%1"', "SELECT p_partkey, p_brand FROM part WHERE p_brand NOT LIKE '%1'"),
     "in_list": ("SELECT event_id, event_type FROM events WHERE event_type IN (\"click\", \"error\")", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error')"),
     "not_in": ("SELECT event_id, event_type FROM events WHERE event_type NOT IN (\"click\", \"error\")", "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'error')"),
     "in_subquery": ("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND c_acctbal > 0", None),
     "contains_op": ("SELECT doc_id FROM documents WHERE text CONTAINS \"eau\"", "SELECT doc_id FROM documents WHERE contains(text, 'eau')"),
     "intersects": ("SELECT event_id FROM events WHERE split(event_type, \"i\") INTERSECTS (\"cl\", \"v\")", "SELECT event_id FROM events WHERE list_has_any(string_split(event_type, 'i'), ['cl', 'v'])"),
-    "exists_op": ("SELECT event_id FROM events WHERE EXISTS props", "SELECT event_id FROM events WHERE props IS NOT NULL AND props <> ''"),
-    "null_compare": ("SELECT event_id, props = NULL AS a, props != NULL AS b FROM events", "SELECT event_id, props IS NULL OR props = '' AS a, props IS NOT NULL AND props <> '' AS b FROM events"),
-    "is_null": ("SELECT event_id FROM events WHERE props IS NOT NULL AND NOT (value IS NULL)", None),
+    "exists_op": ('SELECT event_id FROM (SELECT event_id, event_type AS et IF value > 9, value AS v IF event_type != "click" FROM events) AS e WHERE EXISTS et', "SELECT event_id FROM (SELECT event_id, CASE WHEN value > 9 THEN event_type END AS et, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) AS e WHERE et IS NOT NULL"),
+    "null_compare": ('SELECT event_id, et = NULL AS a, et != NULL AS b, v = NULL AS c FROM (SELECT event_id, event_type AS et IF value > 9, value AS v IF event_type != "click" FROM events) AS e', "SELECT event_id, et IS NULL AS a, et IS NOT NULL AS b, v IS NULL AS c FROM (SELECT event_id, CASE WHEN value > 9 THEN event_type END AS et, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) AS e"),
+    "is_null": ('SELECT event_id FROM (SELECT event_id, event_type AS et IF value > 9, value AS v IF event_type != "click" FROM events) AS e WHERE et IS NOT NULL AND v IS NULL', "SELECT event_id FROM (SELECT event_id, CASE WHEN value > 9 THEN event_type END AS et, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) AS e WHERE et IS NOT NULL AND v IS NULL"),
     "time_compare": ("SELECT o_orderkey FROM orders WHERE o_orderdate > \"1996-06-30\"", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-30 00:00:01'"),
     "bool_dsl": ("SELECT event_id FROM events FILTER AND (value > 5, OR (event_type == \"click\", event_type == \"error\"))", "SELECT event_id FROM events WHERE value > 5 AND (event_type = 'click' OR event_type = 'error')"),
     "filter_statement": ("FILTER AND ( value > 5, NOT OR ( event_type == \"click\", event_type LIKE \"e*\" ) ) FROM events", "SELECT * FROM events WHERE value > 5 AND NOT (event_type = 'click' OR event_type LIKE 'e%')"),
@@ -53,9 +56,9 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "join_expression_key": ("SELECT n.n_name, r.r_name FROM nation n INNER JOIN region r ON lower(r.r_name) = \"asia\" AND n.n_regionkey = r.r_regionkey", "SELECT n.n_name, r.r_name FROM nation n INNER JOIN region r ON lower(r.r_name) = 'asia' AND n.n_regionkey = r.r_regionkey"),
     "join_subquery": ("SELECT c.c_custkey, o.n FROM customer c INNER JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_custkey) AS o ON c.c_custkey = o.k", None),
     "join_3way": ("SELECT c.c_custkey, n.n_name, r.r_name FROM customer c INNER JOIN nation n ON c.c_nationkey = n.n_nationkey INNER JOIN region r ON n.n_regionkey = r.r_regionkey", None),
-    "join_left": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey", None),
-    "join_right": ("SELECT c.c_custkey, o.o_orderkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey", None),
-    "join_full": ("SELECT c.c_custkey, s.s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey", None),
+    "join_left": ('SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000) AS o ON c.c_custkey = o.o_custkey', 'SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000) AS o ON c.c_custkey = o.o_custkey'),
+    "join_right": ('SELECT c.c_custkey, o.o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AS c RIGHT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000) AS o ON c.c_custkey = o.o_custkey', 'SELECT c.c_custkey, o.o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AS c RIGHT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000) AS o ON c.c_custkey = o.o_custkey'),
+    "join_full": ('SELECT c.c_custkey, o.o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AS c FULL JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000) AS o ON c.c_custkey = o.o_custkey', 'SELECT c.c_custkey, o.o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AS c FULL JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000) AS o ON c.c_custkey = o.o_custkey'),
     "join_theta": ("SELECT r.r_name, n.n_name FROM region r INNER JOIN nation n ON n.n_regionkey < r.r_regionkey", None),
     "join_cross": ("SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n", None),
     "join_semi": ("SELECT c.c_custkey FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
@@ -91,6 +94,41 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "fn_filter": ("SELECT c_custkey, filtermatch(c_mktsegment, \"B*\") AS a, filter(c_mktsegment, \"B\") AS b FROM customer", "SELECT c_custkey, CASE WHEN starts_with(c_mktsegment, 'B') THEN c_mktsegment END AS a, CASE WHEN NOT starts_with(c_mktsegment, 'B') THEN c_mktsegment END AS b FROM customer"),
     "tpch_q1": ("SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_extendedprice) AS m, min(l_discount) AS d FROM lineitem WHERE l_shipdate < \"1998-09-02\" GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_extendedprice) AS m, min(l_discount) AS d FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-09-02' GROUP BY 1, 2"),
     "tpch_q5": ("SELECT n.n_name, count(*) AS lines, max(l.l_extendedprice) AS top FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey INNER JOIN lineitem l ON l.l_orderkey = o.o_orderkey INNER JOIN nation n ON c.c_nationkey = n.n_nationkey INNER JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = \"ASIA\" GROUP BY n.n_name ORDER BY lines DESC, n.n_name", "SELECT n.n_name, count(*) AS lines, max(l.l_extendedprice) AS top FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'ASIA' GROUP BY n.n_name"),
+    'where_not_null_rows': ('SELECT event_id FROM (SELECT event_id, event_type AS et IF value > 9, value AS v IF event_type != "click" FROM events) AS e WHERE NOT (v > 20) AND et NOT IN ("view")', "SELECT event_id FROM (SELECT event_id, CASE WHEN value > 9 THEN event_type END AS et, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) AS e WHERE NOT coalesce(v > 20, false) AND NOT coalesce(et IN ('view'), false)"),
+    'where_or_null_rows': ('SELECT event_id, v > 20 AS big FROM (SELECT event_id, event_type AS et IF value > 9, value AS v IF event_type != "click" FROM events) AS e WHERE v > 20 OR et = "error"', "SELECT event_id, coalesce(v > 20, false) AS big FROM (SELECT event_id, CASE WHEN value > 9 THEN event_type END AS et, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) AS e WHERE v > 20 OR et = 'error'"),
+    'number_as_condition': ('SELECT l_orderkey, l_linenumber FROM lineitem FILTER AND ( l_tax, l_quantity > 40 )', 'SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax <> 0 AND l_quantity > 40'),
+    'array_literal': ('SELECT n_nationkey, len(["a", "b", n_name]) AS n, array.index(["a", n_name], 1) AS x FROM nation', 'SELECT n_nationkey, 3::BIGINT AS n, n_name AS x FROM nation'),
+    'map_step_in': ('SELECT n_nationkey FROM (SELECT n_nationkey, map(n_name, n_regionkey) AS m FROM nation) AS n WHERE m.`CHINA` = 2 OR m CONTAINS "JAPAN"', "SELECT n_nationkey FROM nation WHERE n_name = 'CHINA' AND n_regionkey = 2 OR n_name = 'JAPAN'"),
+    'match_all': ('FILTER * FROM region', 'SELECT * FROM region'),
+    'time_between': ('SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN "1996-06-30" AND "1996-12-31"', "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1996-06-30 00:00:00' AND o_orderdate < TIMESTAMP '1996-12-31 00:00:00'"),
+    'time_equal': ('SELECT event_id, ts = "2024-01-01T00:00:07" AS a, ts != "2024-01-01T00:00:07" AS b, "2024-01-02" >= ts AS c, ts <= "2024-01-01T00:03:52" AS d FROM events', "SELECT event_id, date_trunc('second', ts) = TIMESTAMP '2024-01-01 00:00:07' AS a, date_trunc('second', ts) <> TIMESTAMP '2024-01-01 00:00:07' AS b, date_trunc('second', ts) <= TIMESTAMP '2024-01-02' AS c, date_trunc('second', ts) <= TIMESTAMP '2024-01-01 00:03:52' AS d FROM events"),
+    'time_math': ('SELECT o_orderkey FROM orders WHERE o_orderdate < "now-3y" AND o_orderdate < "now+2d"', 'SELECT o_orderkey FROM orders WHERE o_orderdate < now()::TIMESTAMP - INTERVAL 3 YEAR'),
+    'join_or': ('SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a INNER JOIN nation b ON a.n_nationkey = b.n_regionkey OR a.n_name = b.n_name', None),
+    'join_left_semi_text_key': ('SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT cast(c_custkey AS string) FROM customer WHERE c_nationkey = 3)', 'SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)'),
+    'not_in_subquery': ('SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)', None),
+    'in_subquery_under_or': ('SELECT c_custkey FROM customer WHERE c_acctbal > 9000 OR NOT c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 4)', None),
+    'agg_float': ('SELECT l_returnflag, sum(l_extendedprice) AS s, avg(l_discount) AS a, avg(l_extendedprice * 2) AS b FROM lineitem GROUP BY l_returnflag', None),
+    'agg_sum_strings': ('SELECT n_regionkey, sum(s) AS t FROM (SELECT n_regionkey, cast(n_nationkey AS string) AS s FROM nation) AS n GROUP BY n_regionkey', 'SELECT n_regionkey, sum(n_nationkey)::DOUBLE AS t FROM nation GROUP BY n_regionkey'),
+    'agg_empty': ('SELECT count(*) AS n, sum(o_totalprice) AS s, avg(o_totalprice) AS a FROM orders WHERE o_orderkey < 0', None),
+    'agg_null_values': ('SELECT count(v) AS n, count(*) AS m, avg(v) AS a, min(et) AS x, count(DISTINCT et) AS d FROM (SELECT event_id, event_type AS et IF value > 9, value AS v IF event_type != "click" FROM events) AS e', "SELECT count(v) AS n, count(*) AS m, avg(v) AS a, min(et) AS x, count(DISTINCT et) AS d FROM (SELECT event_id, CASE WHEN value > 9 THEN event_type END AS et, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) AS e"),
+    'fn_compare': ('SELECT p_partkey, ge(p_size, 9) AS a, lt(p_size, "9") AS b, all(p_name, p_size > 9) AS c FROM part', 'SELECT p_partkey, p_size >= 9 AS a, p_size < 9 AS b, p_size > 9 AS c FROM part'),
+    'fn_unsign': ('SELECT p_partkey, unsign(p_size) AS a, unsign(0 - p_partkey - 1) AS b FROM part', 'SELECT p_partkey, p_size::VARCHAR AS a, (18446744073709551615::HUGEINT - p_partkey)::VARCHAR AS b FROM part'),
+    'fn_text_case': ('SELECT p_partkey, string.lowercase(p_brand) AS a, string.titlecase(p_name) AS b, string.split(p_name, " ") AS c, string.strip(join(" ", p_name, " ")) AS d FROM part', "SELECT p_partkey, lower(p_brand) AS a, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS b, string_split(p_name, ' ') AS c, p_name AS d FROM part"),
+    'fn_maptime': ('SELECT o_orderkey, array.index(mapkeys(maptime(o_orderstatus, o_orderdate)), 0) AS k, array.index(mapkeys(mapinvert(map(o_orderstatus, o_orderpriority))), 0) AS i FROM orders', 'SELECT o_orderkey, lower(o_orderstatus) AS k, o_orderpriority AS i FROM orders'),
+    'fn_match': ('SELECT n_nationkey, array.index(mapvalues(filter(match("n_"), "regionkey", "nationkey")), 0) AS name FROM nation', 'SELECT n_nationkey, n_name AS name FROM nation'),
+    'fn_filter_list': ('SELECT p_partkey, filtermatch(split(p_name, " "), "r*") AS a, filter(split(p_name, " "), "r*") AS b FROM part', "SELECT p_partkey, CASE WHEN len(list_filter(string_split(p_name, ' '), lambda x: starts_with(x, 'r'))) > 0 THEN list_filter(string_split(p_name, ' '), lambda x: starts_with(x, 'r')) END AS a, CASE WHEN len(list_filter(string_split(p_name, ' '), lambda x: NOT starts_with(x, 'r'))) > 0 THEN list_filter(string_split(p_name, ' '), lambda x: NOT starts_with(x, 'r')) END AS b FROM part"),
+    'fn_now': ('SELECT n_nationkey, now() > "2020-01-01" AS a, len(uuid()) AS b FROM nation', 'SELECT n_nationkey, true AS a, 36::BIGINT AS b FROM nation'),
+    'fn_month': ('SELECT o_orderkey, monthofyear(o_orderdate) AS m, extract(o_orderdate, "%Y-%m-%d") AS d, todatein("2009-05-08 17:57:51", "America/Los_Angeles") AS z FROM orders', "SELECT o_orderkey, month(o_orderdate) AS m, strftime(o_orderdate, '%Y-%m-%d') AS d, TIMESTAMP '2009-05-09 00:57:51' AS z FROM orders"),
+    'fn_seconds': ('SELECT p_partkey, seconds(join("M", cast(p_size AS string), ":30", "")) AS a, seconds(cast(p_size AS string)) AS b, seconds(p_size) AS c FROM part', 'SELECT p_partkey, (p_size * 60 + 30)::DOUBLE AS a, p_size::DOUBLE AS b, p_size::DOUBLE AS c FROM part'),
+    'fn_hosts': ('SELECT page_id, hosts(url, "www.Golang.org/x") AS h, domains(url) AS d, hosts("a") AS n FROM pages', "SELECT page_id, [lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), 'www.golang.org'] AS h, [array_to_string(list_slice(string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '.'), -2, -1), '.')] AS d, NULL::VARCHAR[] AS n FROM pages"),
+    'fn_query_string': ('SELECT page_id, qs(url, "page") AS a, qsl(url, "PAGE") AS b, qs2(url, "Page") AS c, urldecode("a%20b+c") AS d FROM pages', "SELECT page_id, nullif(regexp_extract(regexp_replace(lower(url), '#.*$', ''), '[?&]page=([^&]*)', 1), '') AS a, nullif(regexp_extract(regexp_replace(lower(url), '#.*$', ''), '[?&]page=([^&]*)', 1), '') AS b, NULL::VARCHAR AS c, 'a b c' AS d FROM pages"),
+    'fn_query_rewrite': ('SELECT page_id, urlminusqs("http://A.com/x?b=2&a=1", "b") AS a, url.matchqs("http://www.google.com/blog?mc_eid=123&mc_id=1&pid=123", "mc_*") AS b, url.matchqs(join("http://h.com/", cast(page_id AS string), "?x=1", "")) AS c FROM pages', "SELECT page_id, 'http://A.com/x?a=1' AS a, 'www.google.com/blog?mc_eid=123&mc_id=1' AS b, 'h.com/' || page_id AS c FROM pages"),
+    'fn_email': ('SELECT c_custkey, email(join(c_name, " <User@Site.com>", "")) AS a, emailname(join(c_mktsegment, " <u@s.com>", "")) AS b, emaildomain(join(cast(c_custkey AS string), "@S.org", "")) AS c, email(c_name) AS d FROM customer', "SELECT c_custkey, 'user@site.com' AS a, c_mktsegment AS b, 's.org' AS c, NULL::VARCHAR AS d FROM customer"),
+    'fn_user_agent': ('SELECT n_nationkey, useragent("Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.11 (KHTML, like Gecko) Chrome/23.0.1271.97 Safari/537.11", "browser") AS a, useragent("Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.11 (KHTML, like Gecko) Chrome/23.0.1271.97 Safari/537.11", "os") AS b, len(useragent.map("Mozilla/5.0 (X11; Linux x86_64)")) AS c FROM nation', "SELECT n_nationkey, 'Chrome' AS a, 'Linux x86_64' AS b, 9::BIGINT AS c FROM nation"),
+    'fn_sha512': ('SELECT c_custkey, len(hash.sha512(c_name)) AS a, hash.md5(string.substr(c_name, 0, 3)) AS b FROM customer', 'SELECT c_custkey, 128::BIGINT AS a, md5(c_name[1:3]) AS b FROM customer'),
+    'fn_json_expression': ('SELECT event_id, toint(json.jmespath(props, "k")) AS a, json.jmespath(props, "nope.k") AS b FROM events', "SELECT event_id, json_extract(props, '$.k')::BIGINT AS a, NULL::VARCHAR AS b FROM events"),
+    'fn_hash_known': ('SELECT n_nationkey, hash.sip("http://www.google.com?q=123") AS h, unsign(hash.sip("bananas234029348")) AS u FROM nation', "SELECT n_nationkey, 5673948842516703987::BIGINT AS h, '9314974731269371589' AS u FROM nation"),
+    'tpch_q6': ('SELECT sum(l_extendedprice * l_discount) AS revenue FROM lineitem WHERE l_shipdate >= "1996-01-01" AND l_shipdate < "1997-01-01" AND l_quantity < 24 AND l_discount > 0.03', "SELECT sum(l_extendedprice * l_discount) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_quantity < 24 AND l_discount > 0.03"),
 }
 
 
@@ -144,6 +182,80 @@ def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _own_nation(spark, sf_dir).sql("DELETE FROM mine WHERE n_regionkey = 2; SELECT * FROM mine")
 
 
+def dml_insert_same_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of the statement stays, whatever the order of files."""
+    values = ", ".join(f'({k % 40}, "r{k}", {k})' for k in range(200))
+    return _own_nation(spark, sf_dir).sql(f"INSERT INTO mine (n_nationkey, n_name, n_regionkey) VALUES {values}; SELECT * FROM mine")
+
+
+def dml_insert_select_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one key: the last in the query's order stays."""
+    return _own_nation(spark, sf_dir).sql("INSERT INTO mine SELECT n_nationkey % 7 AS n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_name; SELECT * FROM mine")
+
+
+def _written(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """A folder of tables in files of the format, in the warehouse."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siftql-files/{uuid.uuid4().hex}"
+    for name in ("nation", "orders"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        out = df.write.option("header", "true") if kind == "csv" else df.write
+        out.option("compression", "gzip").format(kind).save(f"{folder}/tables/{name}")
+    return folder
+
+
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zipped CSV files of a folder; every column is text and compared by the language's rules."""
+    e = Engine(spark).register_folder(_written(spark, sf_dir, "csv"), "csv")
+    return e.sql("SELECT toint(o_orderkey) AS k, o_orderstatus FROM orders WHERE o_totalprice > 300000")
+
+
+def source_csv_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark).register_folder(_written(spark, sf_dir, "csv"), "csv", typed=True)
+    return e.sql("SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top, max(o_orderdate) AS last FROM orders GROUP BY o_orderstatus")
+
+
+def source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark).register_folder(_written(spark, sf_dir, "json"), "json")
+    return e.sql("SELECT n.n_name, count(*) AS n FROM nation n INNER JOIN orders o ON n.n_nationkey = o.o_custkey GROUP BY n.n_name")
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of a folder's files."""
+    e = Engine(spark).register_folder(_written(spark, sf_dir, "json"), "json")
+    return e.sql("SELECT table, count(*) > 0 AS there, min(size) > 0 AS filled FROM main_files GROUP BY table")
+
+
+def source_path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _written(spark, sf_dir, "json")
+    df = readers.with_path_columns(spark.read.json(f"{folder}/tables/nation"), r"/tables/(?P<kind>\w+)/")
+    return Engine(spark).register("n", df).sql("SELECT n_nationkey, kind FROM n")
+
+
+def stream_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SELECT over a stream that has read all there is."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
+    return _drained(spark, select_stream(Engine(spark), stream, "SELECT event_id, value * 2 AS twice FROM events WHERE event_type = \"click\""), "append")
+
+
+def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows of event time over a stream that has read all there is."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*")
+    made = windowed(stream, "ts", "1 day", {"n": "count(*)", "top": "max(value)"}, keys=("event_type",))
+    return _drained(spark, made, "complete").withColumnsRenamed({"start": "day"}).drop("end")
+
+
+def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
+    base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siftql-streams/{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/rows")
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(f"{base}/rows")
+
+
 def select_into(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine_over(spark, sf_dir, ("nation",)).sql("SELECT n_name, n_regionkey INTO kept FROM nation WHERE n_regionkey < 2; SELECT n_name FROM kept")
 
@@ -160,7 +272,7 @@ def hash_sip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine_over(spark, sf_dir, ("nation",)).sql("SELECT n_nationkey, hash.sip(n_name) AS h FROM nation")
 
 
-_FUNCTIONS = (filter_include, matches, parameters, session_variables, dml_insert, dml_upsert, dml_update, dml_delete, select_into, show_tables, describe, hash_sip)
+_FUNCTIONS = (filter_include, matches, parameters, session_variables, dml_insert, dml_insert_same_key, dml_insert_select_key, source_csv, source_csv_typed, source_json, source_files, source_path_columns, stream_select, stream_window, dml_upsert, dml_update, dml_delete, select_into, show_tables, describe, hash_sip)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _query(v[0]) for k, v in TEXTS.items()} | {f.__name__: f for f in _FUNCTIONS}
 ORACLE_SQL: dict[str, str] = {k: v[1] or v[0] for k, v in TEXTS.items()} | {
     "filter_include": "SELECT event_id FROM events WHERE value > 5 AND event_type IN ('click', 'error') AND NOT event_id < 100",
@@ -168,6 +280,15 @@ ORACLE_SQL: dict[str, str] = {k: v[1] or v[0] for k, v in TEXTS.items()} | {
     "parameters": "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000.5 AND o_orderstatus = 'O'",
     "session_variables": "SELECT n_nationkey, 3::BIGINT AS least FROM nation WHERE n_regionkey >= 3",
     "dml_insert": "SELECT * FROM nation UNION ALL VALUES (90, 'X', NULL), (91, 'Y', NULL) UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation WHERE n_regionkey = 1",
+    "dml_insert_same_key": "SELECT * FROM nation WHERE n_nationkey NOT IN (SELECT range FROM range(40)) UNION ALL SELECT k, 'r' || (160 + k), 160 + k FROM (SELECT range AS k FROM range(40))",
+    "dml_insert_select_key": "SELECT * FROM nation WHERE n_nationkey > 6 UNION ALL SELECT n_nationkey % 7, arg_max(n_name, n_name), arg_max(n_regionkey, n_name) FROM nation GROUP BY n_nationkey % 7",
+    "source_csv": "SELECT o_orderkey AS k, o_orderstatus FROM orders WHERE o_totalprice > 300000",
+    "source_csv_typed": "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top, max(o_orderdate) AS last FROM orders GROUP BY o_orderstatus",
+    "source_json": "SELECT n.n_name, count(*) AS n FROM nation n JOIN orders o ON n.n_nationkey = o.o_custkey GROUP BY n.n_name",
+    "source_files": "SELECT * FROM (VALUES ('nation', true, true), ('orders', true, true)) AS t(\"table\", there, filled)",
+    "source_path_columns": "SELECT n_nationkey, 'nation' AS kind FROM nation",
+    "stream_select": "SELECT event_id, value * 2 AS twice FROM events WHERE event_type = 'click'",
+    "stream_window": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2",
     "dml_upsert": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'NEW' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL VALUES (77, 'ALSO', NULL)",
     "dml_update": "SELECT n_nationkey, CASE WHEN n_nationkey > 20 THEN lower(n_name) ELSE n_name END AS n_name, CASE WHEN n_nationkey > 20 THEN n_regionkey + 10 ELSE n_regionkey END AS n_regionkey FROM nation",
     "dml_delete": "SELECT * FROM nation WHERE n_regionkey <> 2",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from siftql.lang import tree as t
 from siftql.lang.parser import parse_filter, parse_statement
@@ -32,13 +33,16 @@ def windowed(stream: DataFrame, time_col: str, length: str, aggregates: dict[str
 
     State is dropped once it is ``late`` behind the newest event.
     """
+    kind = stream.schema[time_col].dataType
+    if not isinstance(kind, TimestampType):  # watermarks are on times with a zone
+        stream = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
     marked = stream.withWatermark(time_col, late)
     span = F.session_window(time_col, gap) if gap else F.window(time_col, length, slide)
     comp = Compiler(Scope.of(stream, lenient=True, aggregate=True))
     made = [comp(t.Call(a.name, a.args)).col.alias(n) for n, a in ((n, _call(e)) for n, e in aggregates.items())]
     name = "session_window" if gap else "window"
     out = marked.groupBy(span, *keys).agg(*made)
-    return out.select(F.col(f"{name}.start").alias("start"), F.col(f"{name}.end").alias("end"), *keys, *aggregates)
+    return out.select(F.col(f"{name}.start").cast(kind).alias("start"), F.col(f"{name}.end").cast(kind).alias("end"), *keys, *aggregates)
 
 
 def _call(text: str) -> t.Call:
