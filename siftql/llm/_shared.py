@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,15 +15,20 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one is set only where none is."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where none is set, a local session takes a folder of its own; on a cluster it is the warehouse, which is shared too.
+    """
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftql-"))
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where
+    else:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/siftql-shared")
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -12,8 +12,8 @@ one state, so a state is named by a label and is the chain of splits that its la
 Two consequences make the table small and the walk deterministic:
 
 * ``delta(state(a), b)`` is missing iff some rule ``(s, t)`` has ``s`` on the right spine of ``a`` and ``t`` on the left
-  spine of ``b``, and came before the rule that built the next larger element of either spine.  Rows are filled in when
-  a pair is first seen and kept in a table.
+  spine of ``b``, and came before the rule that built the next larger element of either spine.  The transition table is
+  lazy: rows are filled in when a pair is first seen, and kept.
 * Every prefix of a word has exactly one path, so a walk needs one (token, state) per byte position.
 
 Decoding emits the labels of the arcs.
@@ -362,8 +362,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ``decoded_sha256`` (of the decoded text in UTF-8); with ``with_text`` also ``ids`` (array of int) and ``decoded``.
 
     ``path``: a byte-level BPE file.  Null texts count as empty: no ids, the digest of no bytes.  Rows are never
-    dropped or merged; equal rows give equal results; columns other than the two named are not read.  One pass, no
-    shuffle; a worker holds the automaton and bounded caches, whatever the input size.
+    dropped or merged; equal rows give equal results; columns other than the two named are not read.  Texts are read
+    whole, however long, and an empty table gives no rows.  One pass, no shuffle; a worker holds the automaton and bounded caches, whatever the input size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -616,6 +616,7 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, n_words = int(totals.n), int(totals.v)
     vocab, model, end = fit(units, counts, path)
+    # ``units`` and ``counts`` stay until the result has been read.
     # More tasks than units until those are many, then some units each: what a task holds stays the same at any size.
     tasks = max(1, n_units // 4, min(4 * n_units, FEW_TASKS))
     known = words.select("unit", "at", "hash").join(counts.select("hash", "c"), "hash").repartition(tasks, "unit").groupBy("unit").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"))

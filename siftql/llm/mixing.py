@@ -21,7 +21,7 @@ from siftql.llm._shared import BLANKS, materialize, text_or_empty
 BLOCK_WORDS = 32
 SHARD_WORDS = 16_384
 #: Shards over all sources, besides one for each source; with it the plan that is broadcast has a known size.
-MAX_SHARDS = 8_192
+MAX_SHARDS = 65_536
 #: More distinct sources than this are refused, since their totals go through the driver.
 MAX_SOURCES = 200_000
 MAX_REPEATS = 3
@@ -137,19 +137,20 @@ def round_long(rows: list[tuple[int, int]]) -> tuple[list[bool], int]:
     return out, left
 
 
-def mixed_documents(docs: DataFrame, *, source_col: str = "source", seed: int = 17, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, **options) -> DataFrame:
     """The mix as rows of ``docs``: each document in as many whole copies as it is taken, and one more for some of the rest.
 
     The words beyond whole copies are made up for by source.  Documents longer than a shard, at most ``MAX_SHARDS``, are
     rounded from the longest with a running remainder; what that leaves is added to what the others have to give, which
     get a copy more in the order of a seeded draw over their fraction, until the words are reached.  So a source's words
     are off from what :func:`mix` takes by at most half of one document that is no longer than a shard, unless all or none
-    of these get a copy more; then by at most half the source's longest document more.  Columns are those of ``docs``;
-    documents without a word are never taken.
+    of these get a copy more; then by at most half the source's longest document more.  Columns are those of ``docs``, of which
+    ``id_col`` and ``text_col`` may be named; documents without a word, null texts included, are never taken.  Rows that are
+    repeated are rounded each by itself; an empty table gives no rows.
     """
     names = docs.columns
-    got = mix(docs, source_col=source_col, seed=seed, carry=names, **options).where("size > 0")
-    u = (F.pmod(F.xxhash64(F.col("carried")[names[0]], F.col("carried")["text"], F.lit(seed + 1)), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+    got = mix(docs, id_col, source_col, text_col, seed=seed, carry=names, **options).where("size > 0")
+    u = (F.pmod(F.xxhash64(F.col("carried")[id_col], F.col("carried")[text_col], F.lit(seed + 1)), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
     got = got.select(
         "carried", "size", F.expr("taken div size").alias("_whole"), F.pmod("taken", "size").alias("_extra"), u.alias("_u"),
         F.coalesce(F.concat(F.lit("s"), F.col("carried")[source_col].cast("string")), F.lit("")).alias("_s"),

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftql.llm._shared import crc_of_id, materialize, text_or_empty
+from siftql.llm._shared import crc_of_id, materialize, release, text_or_empty
 
 FEATURES = 128
 RIDGE = 1e-3
 BINS = 256
+#: Groups of partitions whose sums meet first.
+SOME = 64
 THRESHOLD = 0.7
 HELD_OUT = 2
 CALIBRATION = 3  # the remainder whose rows calibrate; the others fit
@@ -120,7 +122,7 @@ def _stack(column) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, matrix) -> np.ndarray:
-    """The sum over all rows of ``matrix(stats, label)``: partition sums, then row by row of the matrix in a shuffle."""
+    """The sum over all rows of ``matrix(stats, label)``: partition sums, then row by row of the matrix in two shuffles, so that no task meets the parts of all partitions."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -131,11 +133,12 @@ def _summed(rows: DataFrame, matrix) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_pydict({"row": pa.array(range(len(total)), pa.int32()), "part": pa.array(total.tolist(), pa.list_(pa.float64()))})
 
-    parts = rows.select("stats", F.col("label").cast("double")).mapInArrow(part, "row int, part array<double>")
+    parts = rows.select("stats", F.col("label").cast("double")).mapInArrow(part, "row int, part array<double>").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(SOME)))
 
     def group(key, table):
         return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([_stack(table.column(1).combine_chunks()).sum(0).tolist()], pa.list_(pa.float64()))})
 
+    parts = parts.groupBy("row", "some").applyInArrow(group, "row int, part array<double>")
     got = parts.groupBy("row").applyInArrow(group, "row int, part array<double>").collect()
     return np.array([r.part for r in sorted(got, key=lambda r: r.row)])
 
@@ -189,7 +192,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Returns ``id_col``, ``held_out`` (crc32 of the identifier as text is 2 modulo 4), ``score`` (double, 0 to 1) and
     ``predicted`` (1 if score >= threshold).  Held-out rows are never learned from.  Only texts enter a score, so equal texts
     score alike; null texts count as empty.  Labels that are null, or whose identifier is null or of no document, are
-    ignored; several labels of one document count as their mean.
+    ignored; several labels of one document count as their mean.  Rows are kept one to one, repeated identifiers too; texts
+    are read whole, however long; an empty table gives no rows; columns other than the named ones are not read.
     """
     stats = materialize(document_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text"), "statistics")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null")
@@ -197,6 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     fold = F.pmod(crc_of_id("id"), F.lit(4))
     labelled = materialize(stats.where(fold != HELD_OUT).join(known, "id").select("stats", "label", (fold == CALIBRATION).alias("calibrate")), "labelled")
     model = fit(labelled)
+    release(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -154,3 +155,42 @@ def test_classifier_learns_and_handles_odd_rows(spark, odd, nothing):
 def test_isotonic_is_monotone():
     y = quality_classifier.isotonic(np.array([0.0, 3.0, 1.0, 2.0, 5.0]), np.ones(5))
     assert y.tolist() == [0.0, 2.0, 2.0, 2.0, 5.0]
+
+
+def test_classifier_matches_one_matrix_in_numpy(spark, sf):
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in quality_classifier.classify(docs, labels).collect()}
+    known = {r.doc_id: float(r.quality) for r in labels.collect()}
+    rows = [(r.doc_id, quality_classifier.statistics(r.text or "")) for r in docs.collect()]
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in rows}
+    learned = [(i, x) for i, x in rows if i in known and fold[i] != 2]
+    x, y = np.array([s for _, s in learned]), np.array([known[i] for i, _ in learned])
+    calibrates = np.array([fold[i] == 3 for i, _ in learned])
+    n, ones = len(y), y.sum()
+    rng = np.random.default_rng(7)
+    w, b = rng.standard_normal((x.shape[1], 128)) / 4.0, rng.uniform(0, 2 * np.pi, 128)
+    mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
+
+    def features(s):
+        return np.hstack([np.cos(np.clip((s - mean) / spread, -6, 6) @ w + b) * np.sqrt(2 / 128), np.ones((len(s), 1))])
+
+    z = features(x[~calibrates])
+    weight = np.where(y[~calibrates] > 0, 0.5 * n / ones, 0.5 * n / (n - ones))
+    root = np.sqrt(weight)[:, None]
+    # Ridge as least squares with rows that pull to zero.
+    beta = np.linalg.lstsq(np.vstack([z * root, np.sqrt(1e-3 * n / 128) * np.eye(129)]), np.concatenate([y[~calibrates] * root[:, 0], np.zeros(129)]), rcond=None)[0]
+    raw = features(x[calibrates]) @ beta
+    bins = np.clip(((raw + 0.5) * 128).astype(int), 0, 255)
+    steps = sorted(set(bins.tolist()))
+    level = [y[calibrates][bins == k].mean() for k in steps]
+    size = [(bins == k).sum() for k in steps]
+    # The isotonic fit by its minimax formula.
+    share = lambda a, c: np.average(level[a : c + 1], weights=size[a : c + 1])
+    curve = [max(min(share(a, c) for c in range(k, len(steps))) for a in range(k + 1)) for k in range(len(steps))]
+    knots = [raw[bins == k].mean() for k in steps]
+    all_raw = features(np.array([s for _, s in rows])) @ beta
+    want = np.clip(0.999 * np.interp(all_raw, knots, curve) + 0.001 * np.clip(all_raw, 0, 1), 0, 1)
+    assert len(got) == len(rows)
+    for (i, _), score in zip(rows, want):
+        held, have, predicted = got[i]
+        assert held == (fold[i] == 2) and have == pytest.approx(score, abs=1e-4) and predicted == (have >= 0.7)
