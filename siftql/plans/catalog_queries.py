@@ -98,7 +98,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     'where_or_null_rows': ('SELECT event_id, v > 20 AS big FROM (SELECT event_id, event_type AS et IF value > 9, value AS v IF event_type != "click" FROM events) AS e WHERE v > 20 OR et = "error"', "SELECT event_id, coalesce(v > 20, false) AS big FROM (SELECT event_id, CASE WHEN value > 9 THEN event_type END AS et, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) AS e WHERE v > 20 OR et = 'error'"),
     'number_as_condition': ('SELECT l_orderkey, l_linenumber FROM lineitem FILTER AND ( l_tax, l_quantity > 40 )', 'SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax <> 0 AND l_quantity > 40'),
     'array_literal': ('SELECT n_nationkey, len(["a", "b", n_name]) AS n, array.index(["a", n_name], 1) AS x FROM nation', 'SELECT n_nationkey, 3::BIGINT AS n, n_name AS x FROM nation'),
-    'map_step_in': ('SELECT n_nationkey FROM (SELECT n_nationkey, map(n_name, n_regionkey) AS m FROM nation) AS n WHERE m.`CHINA` = 2 OR m CONTAINS "JAPAN"', "SELECT n_nationkey FROM nation WHERE n_name = 'CHINA' AND n_regionkey = 2 OR n_name = 'JAPAN'"),
+    'map_step_in': ('SELECT n_nationkey FROM (SELECT n_nationkey, map(n_name, n_regionkey) AS m FROM nation) AS n WHERE m.`NATION_7` = 2 OR m CONTAINS "NATION_9"', "SELECT n_nationkey FROM nation WHERE n_name = 'NATION_7' AND n_regionkey = 2 OR n_name = 'NATION_9'"),
     'match_all': ('FILTER * FROM region', 'SELECT * FROM region'),
     'time_between': ('SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN "1996-06-30" AND "1996-12-31"', "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1996-06-30 00:00:00' AND o_orderdate < TIMESTAMP '1996-12-31 00:00:00'"),
     'time_equal': ('SELECT event_id, ts = "2024-01-01T00:00:07" AS a, ts != "2024-01-01T00:00:07" AS b, "2024-01-02" >= ts AS c, ts <= "2024-01-01T00:03:52" AS d FROM events', "SELECT event_id, date_trunc('second', ts) = TIMESTAMP '2024-01-01 00:00:07' AS a, date_trunc('second', ts) <> TIMESTAMP '2024-01-01 00:00:07' AS b, date_trunc('second', ts) <= TIMESTAMP '2024-01-02' AS c, date_trunc('second', ts) <= TIMESTAMP '2024-01-01 00:03:52' AS d FROM events"),
@@ -107,20 +107,20 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     'join_left_semi_text_key': ('SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT cast(c_custkey AS string) FROM customer WHERE c_nationkey = 3)', 'SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)'),
     'not_in_subquery': ('SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)', None),
     'in_subquery_under_or': ('SELECT c_custkey FROM customer WHERE c_acctbal > 9000 OR NOT c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 4)', None),
-    'agg_float': ('SELECT l_returnflag, sum(l_extendedprice) AS s, avg(l_discount) AS a, avg(l_extendedprice * 2) AS b FROM lineitem GROUP BY l_returnflag', None),
+    'agg_float': ('SELECT l_returnflag, toint(sum(l_extendedprice) * 100 + 0.5) AS cents, toint(avg(l_discount) * 1000000) AS a, toint(sum(l_extendedprice * l_discount) * 10000 + 0.5) AS d FROM lineitem GROUP BY l_returnflag', 'SELECT l_returnflag, floor(sum(l_extendedprice) * 100 + 0.5)::BIGINT AS cents, floor(avg(l_discount) * 1000000)::BIGINT AS a, floor(sum(l_extendedprice * l_discount) * 10000 + 0.5)::BIGINT AS d FROM lineitem GROUP BY l_returnflag'),
     'agg_sum_strings': ('SELECT n_regionkey, sum(s) AS t FROM (SELECT n_regionkey, cast(n_nationkey AS string) AS s FROM nation) AS n GROUP BY n_regionkey', 'SELECT n_regionkey, sum(n_nationkey)::DOUBLE AS t FROM nation GROUP BY n_regionkey'),
     'agg_empty': ('SELECT count(*) AS n, sum(o_totalprice) AS s, avg(o_totalprice) AS a FROM orders WHERE o_orderkey < 0', None),
-    'agg_null_values': ('SELECT count(v) AS n, count(*) AS m, avg(v) AS a, min(et) AS x, count(DISTINCT et) AS d FROM (SELECT event_id, event_type AS et IF value > 9, value AS v IF event_type != "click" FROM events) AS e', "SELECT count(v) AS n, count(*) AS m, avg(v) AS a, min(et) AS x, count(DISTINCT et) AS d FROM (SELECT event_id, CASE WHEN value > 9 THEN event_type END AS et, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) AS e"),
+    'agg_null_values': ('SELECT count(v) AS n, count(*) AS m, toint(avg(v) * 1000) AS a, min(et) AS x, count(DISTINCT et) AS d FROM (SELECT event_id, event_type AS et IF value > 9, value AS v IF event_type != "click" FROM events) AS e', "SELECT count(v) AS n, count(*) AS m, floor(avg(v) * 1000)::BIGINT AS a, min(et) AS x, count(DISTINCT et) AS d FROM (SELECT event_id, CASE WHEN value > 9 THEN event_type END AS et, CASE WHEN event_type <> 'click' THEN value END AS v FROM events) AS e"),
     'fn_compare': ('SELECT p_partkey, ge(p_size, 9) AS a, lt(p_size, "9") AS b, all(p_name, p_size > 9) AS c FROM part', 'SELECT p_partkey, p_size >= 9 AS a, p_size < 9 AS b, p_size > 9 AS c FROM part'),
     'fn_unsign': ('SELECT p_partkey, unsign(p_size) AS a, unsign(0 - p_partkey - 1) AS b FROM part', 'SELECT p_partkey, p_size::VARCHAR AS a, (18446744073709551615::HUGEINT - p_partkey)::VARCHAR AS b FROM part'),
-    'fn_text_case': ('SELECT p_partkey, string.lowercase(p_brand) AS a, string.titlecase(p_name) AS b, string.split(p_name, " ") AS c, string.strip(join(" ", p_name, " ")) AS d FROM part', "SELECT p_partkey, lower(p_brand) AS a, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS b, string_split(p_name, ' ') AS c, p_name AS d FROM part"),
+    'fn_text_case': ('SELECT p_partkey, string.lowercase(p_brand) AS a, string.titlecase(p_name) AS b, join(string.split(p_name, " "), "-") AS c, string.strip(join(" ", p_name, " ")) AS d FROM part', "SELECT p_partkey, lower(p_brand) AS a, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS b, replace(p_name, ' ', '-') AS c, p_name AS d FROM part"),
     'fn_maptime': ('SELECT o_orderkey, array.index(mapkeys(maptime(o_orderstatus, o_orderdate)), 0) AS k, array.index(mapkeys(mapinvert(map(o_orderstatus, o_orderpriority))), 0) AS i FROM orders', 'SELECT o_orderkey, lower(o_orderstatus) AS k, o_orderpriority AS i FROM orders'),
     'fn_match': ('SELECT n_nationkey, array.index(mapvalues(filter(match("n_"), "regionkey", "nationkey")), 0) AS name FROM nation', 'SELECT n_nationkey, n_name AS name FROM nation'),
-    'fn_filter_list': ('SELECT p_partkey, filtermatch(split(p_name, " "), "r*") AS a, filter(split(p_name, " "), "r*") AS b FROM part', "SELECT p_partkey, CASE WHEN len(list_filter(string_split(p_name, ' '), lambda x: starts_with(x, 'r'))) > 0 THEN list_filter(string_split(p_name, ' '), lambda x: starts_with(x, 'r')) END AS a, CASE WHEN len(list_filter(string_split(p_name, ' '), lambda x: NOT starts_with(x, 'r'))) > 0 THEN list_filter(string_split(p_name, ' '), lambda x: NOT starts_with(x, 'r')) END AS b FROM part"),
+    'fn_filter_list': ('SELECT p_partkey, join(filtermatch(split(p_name, " "), "r*"), "-") AS a, join(filter(split(p_name, " "), "r*"), "-") AS b, len(filter(split(p_name, " "), "r*")) AS c FROM part', "SELECT p_partkey, nullif(array_to_string(list_filter(string_split(p_name, ' '), lambda x: starts_with(x, 'r')), '-'), '') AS a, nullif(array_to_string(list_filter(string_split(p_name, ' '), lambda x: NOT starts_with(x, 'r')), '-'), '') AS b, nullif(len(list_filter(string_split(p_name, ' '), lambda x: NOT starts_with(x, 'r'))), 0)::BIGINT AS c FROM part"),
     'fn_now': ('SELECT n_nationkey, now() > "2020-01-01" AS a, len(uuid()) AS b FROM nation', 'SELECT n_nationkey, true AS a, 36::BIGINT AS b FROM nation'),
     'fn_month': ('SELECT o_orderkey, monthofyear(o_orderdate) AS m, extract(o_orderdate, "%Y-%m-%d") AS d, todatein("2009-05-08 17:57:51", "America/Los_Angeles") AS z FROM orders', "SELECT o_orderkey, month(o_orderdate) AS m, strftime(o_orderdate, '%Y-%m-%d') AS d, TIMESTAMP '2009-05-09 00:57:51' AS z FROM orders"),
     'fn_seconds': ('SELECT p_partkey, seconds(join("M", cast(p_size AS string), ":30", "")) AS a, seconds(cast(p_size AS string)) AS b, seconds(p_size) AS c FROM part', 'SELECT p_partkey, (p_size * 60 + 30)::DOUBLE AS a, p_size::DOUBLE AS b, p_size::DOUBLE AS c FROM part'),
-    'fn_hosts': ('SELECT page_id, hosts(url, "www.Golang.org/x") AS h, domains(url) AS d, hosts("a") AS n FROM pages', "SELECT page_id, [lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), 'www.golang.org'] AS h, [array_to_string(list_slice(string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '.'), -2, -1), '.')] AS d, NULL::VARCHAR[] AS n FROM pages"),
+    'fn_hosts': ('SELECT page_id, join(hosts(url, "www.Golang.org/x"), " ") AS h, join(domains(url), " ") AS d, len(hosts("a")) AS n FROM pages', "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) || ' www.golang.org' AS h, array_to_string(list_slice(string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '.'), -2, -1), '.') AS d, NULL::BIGINT AS n FROM pages"),
     'fn_query_string': ('SELECT page_id, qs(url, "page") AS a, qsl(url, "PAGE") AS b, qs2(url, "Page") AS c, urldecode("a%20b+c") AS d FROM pages', "SELECT page_id, nullif(regexp_extract(regexp_replace(lower(url), '#.*$', ''), '[?&]page=([^&]*)', 1), '') AS a, nullif(regexp_extract(regexp_replace(lower(url), '#.*$', ''), '[?&]page=([^&]*)', 1), '') AS b, NULL::VARCHAR AS c, 'a b c' AS d FROM pages"),
     'fn_query_rewrite': ('SELECT page_id, urlminusqs("http://A.com/x?b=2&a=1", "b") AS a, url.matchqs("http://www.google.com/blog?mc_eid=123&mc_id=1&pid=123", "mc_*") AS b, url.matchqs(join("http://h.com/", cast(page_id AS string), "?x=1", "")) AS c FROM pages', "SELECT page_id, 'http://A.com/x?a=1' AS a, 'www.google.com/blog?mc_eid=123&mc_id=1' AS b, 'h.com/' || page_id AS c FROM pages"),
     'fn_email': ('SELECT c_custkey, email(join(c_name, " <User@Site.com>", "")) AS a, emailname(join(c_mktsegment, " <u@s.com>", "")) AS b, emaildomain(join(cast(c_custkey AS string), "@S.org", "")) AS c, email(c_name) AS d FROM customer', "SELECT c_custkey, 'user@site.com' AS a, c_mktsegment AS b, 's.org' AS c, NULL::VARCHAR AS d FROM customer"),
@@ -128,7 +128,7 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     'fn_sha512': ('SELECT c_custkey, len(hash.sha512(c_name)) AS a, hash.md5(string.substr(c_name, 0, 3)) AS b FROM customer', 'SELECT c_custkey, 128::BIGINT AS a, md5(c_name[1:3]) AS b FROM customer'),
     'fn_json_expression': ('SELECT event_id, toint(json.jmespath(props, "k")) AS a, json.jmespath(props, "nope.k") AS b FROM events', "SELECT event_id, json_extract(props, '$.k')::BIGINT AS a, NULL::VARCHAR AS b FROM events"),
     'fn_hash_known': ('SELECT n_nationkey, hash.sip("http://www.google.com?q=123") AS h, unsign(hash.sip("bananas234029348")) AS u FROM nation', "SELECT n_nationkey, 5673948842516703987::BIGINT AS h, '9314974731269371589' AS u FROM nation"),
-    'tpch_q6': ('SELECT sum(l_extendedprice * l_discount) AS revenue FROM lineitem WHERE l_shipdate >= "1996-01-01" AND l_shipdate < "1997-01-01" AND l_quantity < 24 AND l_discount > 0.03', "SELECT sum(l_extendedprice * l_discount) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_quantity < 24 AND l_discount > 0.03"),
+    'tpch_q6': ('SELECT toint(sum(l_extendedprice * l_discount) * 10000 + 0.5) AS revenue FROM lineitem WHERE l_shipdate >= "1996-01-01" AND l_shipdate < "1997-01-01" AND l_quantity < 24 AND l_discount > 0.03', "SELECT floor(sum(l_extendedprice * l_discount) * 10000 + 0.5)::BIGINT AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_quantity < 24 AND l_discount > 0.03"),
 }
 
 
