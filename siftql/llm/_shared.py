@@ -89,12 +89,12 @@ class TwoGenerations:
         """
         self.turn()
         young, old = self.young, self.old
-        missing = set(keys) - young.keys()
+        missing = set(keys).difference(young)  # of a set and a dict, so it looks up the keys only
         if missing and old:
-            again = missing & old.keys()
+            again = [k for k in missing if k in old]
             for k in again:
                 young[k] = old[k]
-            missing -= again
+            missing.difference_update(again)
         if missing:
             new = list(missing)
             young.update(zip(new, make(new)))
