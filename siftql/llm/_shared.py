@@ -89,12 +89,15 @@ class TwoGenerations:
         """
         self.turn()
         young, old = self.young, self.old
-        missing = set(keys).difference(young)  # of a set and a dict, so it looks up the keys only
+        missing = keys.difference(young) if isinstance(keys, set) else [k for k in keys if k not in young]
         if missing and old:
-            again = [k for k in missing if k in old]
-            for k in again:
-                young[k] = old[k]
-            missing.difference_update(again)
+            new = []
+            for k in missing:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    new.append(k)
+            missing = new
         if missing:
             new = list(missing)
             young.update(zip(new, make(new)))

@@ -36,7 +36,7 @@ from siftql.llm._shared import TwoGenerations, text_or_empty
 #: Pairs in the transition table of one worker; beyond it the table is filled anew.
 TABLE_LIMIT = 200_000
 #: Distinct space-separated pieces that a worker remembers in each of two generations.
-PIECE_LIMIT = 150_000
+PIECE_LIMIT = 180_000
 WORD_LIMIT = 100_000
 _FAR = 1 << 60
 
