@@ -30,7 +30,7 @@ THRESHOLD = 0.8
 #: 32 bands of 4: a pair of similarity 0.8 shares no band with probability 5e-8.
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share are not verified; of pairs of similarity 0.8, 2 in 10 million agree so little.
+#: Pairs whose signatures agree in less than this share are not verified; of pairs of similarity 0.8, 8 in 100 million agree so little.
 LEAST_AGREEMENT = 0.6
 #: Buckets of up to so many documents send out their pairs, at most this number for each document; larger ones are compared inside.
 SMALL_BUCKET = 8
