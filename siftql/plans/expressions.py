@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from siftql.lang import tree as t
 from siftql.lang.parser import parse_expression
-from siftql.plans.values import BOOL, FLOAT, INT, STR, CompileProblem, Val, all_of, any_of, array_of, convert, first_of, lit, nil, nothing, some, to_bool, to_float, to_int, to_str, to_time
+from siftql.plans.values import BOOL, FLOAT, INT, STR, CompileProblem, Val, all_of, any_of, array_of, convert, first_of, float_sum, lit, nil, nothing, some, to_bool, to_float, to_int, to_str, to_time
 
 INCLUDE_DEPTH = 100
 AGGREGATES = {"count", "sum", "avg", "min", "max", "approx_count_distinct"}
@@ -381,8 +381,10 @@ class Compiler:
             raise CompileProblem(f"{name} takes one argument")
         v = inner(args[0])
         if name in ("sum", "avg"):
-            x = v.col if v.kind in ("int", "float") else to_float(v)
-            return Val(F.sum(x) if name == "sum" else F.avg(x), INT if name == "sum" and v.kind == "int" else FLOAT)
+            if v.kind == "int" or isinstance(v.type, T.DecimalType):
+                return Val(F.sum(v.col) if name == "sum" else F.avg(v.col), INT if name == "sum" and v.kind == "int" else FLOAT)
+            x = v.col if v.kind == "float" else to_float(v)
+            return Val(float_sum(x) if name == "sum" else F.try_divide(float_sum(x), F.count(x)), FLOAT)
         if name == "approx_count_distinct":
             return Val(F.approx_count_distinct(v.col), INT)
         return Val(F.min(v.col) if name == "min" else F.max(v.col), v.type)

@@ -237,6 +237,20 @@ def array_of(vals: list[Val]) -> Val:
     return Val(F.array(*[convert(v, kind) for v in vals]), T.ArrayType(kind))
 
 
+def float_sum(x: Column) -> Column:
+    """The sum of a group's doubles, rounded when its parts are put together, so that it does not hang on the order of rows.
+
+    Each number is split without loss into multiples of 2^20, 1, 2^-20 and 2^-40 and what is left. The middle parts have
+    about 20 bits, so their sums are exact over 2^33 rows, and the first one's while it is below 2^73; beyond, and in what
+    is left, parts add up like any doubles.
+    """
+    x = x.cast("double")
+    # Adding and taking away 1.5 * 2^(52 + k) rounds to a multiple of 2^k.
+    rounded = [x + F.lit(1.5 * 2.0 ** (52 + k)) - F.lit(1.5 * 2.0 ** (52 + k)) for k in (20, 0, -20, -40)] + [x]
+    first, *rest = [F.sum(rounded[0])] + [F.sum(b - a) for a, b in zip(rounded, rounded[1:])]
+    return F.when(F.abs(first) < F.lit(float("inf")), reduce(lambda a, b: a + b, [*reversed(rest), first])).otherwise(first)
+
+
 def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
 
